@@ -10,7 +10,9 @@ from umbra.llm import sql
 from umbra.llm.bpe import encode_documents
 from umbra.llm.chat_format import digests, format_chats
 from umbra.llm.common import table
+from umbra.llm.license_scan import license_digest, scan_licenses
 from umbra.llm.quality_rules import quality_rules
+from umbra.llm.secret_scan import scan_documents, secret_digest
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -33,6 +35,16 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(docs, tokenizer_file(), with_ids=False).drop("text")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each different text scanned once."""
+    return secret_digest(scan_documents(table(spark, sf_dir, "documents")))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements of every document."""
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and the verdict of the cross-document line frequency."""
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -40,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable (spark, sf_dir)."""
-    return {f.__name__: f for f in (op5_chat_format, op6_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op5_chat_format, op6_bpe, op7_secret_scan, op8_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,6 +11,7 @@ from umbra.llm.bpe import encode_documents
 from umbra.llm.chat_format import digests, format_chats
 from umbra.llm.common import table
 from umbra.llm.license_scan import license_digest, scan_licenses
+from umbra.llm.near_dedup import NearDedup
 from umbra.llm.quality_rules import quality_rules
 from umbra.llm.secret_scan import scan_documents, secret_digest
 
@@ -22,6 +23,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts whose three-word shingle sets are 85 % alike."""
+    return NearDedup(words=3, percent=85).dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format every conversation, and one whose texts hold the template's own control strings."""
     own = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -52,7 +58,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable (spark, sf_dir)."""
-    return {f.__name__: f for f in (op5_chat_format, op6_bpe, op7_secret_scan, op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op5_chat_format, op6_bpe, op7_secret_scan, op8_license_scan, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,4 +54,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM counted
 """
 
-SQL = {"op5_chat_format": OP5, "op10_quality_rules": OP10}
+OP3 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS pos FROM words WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y USING (s) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 85 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS root, doc_id AS node FROM sizes
+  UNION
+  SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.node
+), least AS (SELECT root, min(node) AS m FROM reach GROUP BY root)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, doc_id)::BIGINT AS component_id, doc_id = coalesce(m, doc_id) AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON root = doc_id
+"""
+
+SQL = {"op3_minhash_near_dedup": OP3, "op5_chat_format": OP5, "op10_quality_rules": OP10}

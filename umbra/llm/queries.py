@@ -10,7 +10,9 @@ from umbra.llm import sql
 from umbra.llm.bpe import encode_documents
 from umbra.llm.chat_format import digests, format_chats
 from umbra.llm.common import table
+from umbra.llm.decontaminate import Decontamination
 from umbra.llm.license_scan import license_digest, scan_licenses
+from umbra.llm.line_dedup import LineDedup
 from umbra.llm.near_dedup import NearDedup
 from umbra.llm.quality_rules import quality_rules
 from umbra.llm.secret_scan import scan_documents, secret_digest
@@ -23,6 +25,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fate of every line of every text."""
+    return LineDedup().marks(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of texts whose three-word shingle sets are 85 % alike."""
     return NearDedup(words=3, percent=85).dedup(table(spark, sf_dir, "documents"))
@@ -51,6 +58,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other values."""
+    return Decontamination().leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and the verdict of the cross-document line frequency."""
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -58,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable (spark, sf_dir)."""
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op5_chat_format, op6_bpe, op7_secret_scan, op8_license_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op5_chat_format, op6_bpe, op7_secret_scan, op8_license_scan, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,9 @@ from umbra.llm.common import table
 from umbra.llm.decontaminate import Decontamination
 from umbra.llm.license_scan import license_digest, scan_licenses
 from umbra.llm.line_dedup import LineDedup
+from umbra.llm.lm_score import WindowModel
 from umbra.llm.near_dedup import NearDedup
+from umbra.llm.quality_classifier import KneserNey
 from umbra.llm.quality_rules import quality_rules
 from umbra.llm.secret_scan import scan_documents, secret_digest
 
@@ -25,6 +27,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-likelihood of every document under a network trained on all of them."""
+    return WindowModel().score(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fate of every line of every text."""
     return LineDedup().marks(table(spark, sf_dir, "documents"))
@@ -35,6 +42,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDedup(words=3, percent=85).dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of trusted text, and the verdict."""
+    return KneserNey().classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("body")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format every conversation, and one whose texts hold the template's own control strings."""
     own = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -70,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable (spark, sf_dir)."""
-    return {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op5_chat_format, op6_bpe, op7_secret_scan, op8_license_scan, op9_decontamination, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_lm_score, op2_line_dedup, op3_minhash_near_dedup, op4_quality_classifier, op5_chat_format, op6_bpe, op7_secret_scan, op8_license_scan, op9_decontamination, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ from functools import lru_cache
 from hashlib import sha256
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -56,7 +57,13 @@ class Vocabulary:
             self.parts.setdefault(made, (u, v))
         self.rank = {made: self.merges[p][0] for made, p in self.parts.items()}
         self.longest = max(map(len, self.ids))
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        #: Finds all tokens that end at each byte, longest first; bytes stand as characters below 256.
+        self.endings = ahocorasick.Automaton()
+        for b, i in self.ids.items():
+            self.endings.add_word(b.decode("latin-1"), (i, len(b) - 1))
+        self.lengths = [len(b) for b in self.bytes]
+        self.endings.make_automaton()
         self.splits = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def lookahead(self) -> int:
@@ -79,9 +86,6 @@ class Vocabulary:
         Both are unmerged step by step at their common border, latest merge first;
         a merge across the border that comes earlier would have joined them.
         """
-        known = self._pairs.get((left, right))
-        if known is not None:
-            return known
         a, b, limit, ok = left, right, len(self.merges) + 1, True
         while True:
             across = self.merges.get((a, b))
@@ -98,7 +102,7 @@ class Vocabulary:
                 limit, b = rb + 1, self.parts[b][0]
         if len(self._pairs) > 400_000:
             self._pairs.clear()
-        self._pairs[left, right] = ok
+        self._pairs[left << 32 | right] = ok
         return ok
 
 
@@ -112,27 +116,39 @@ class Encoder:
 
     def feed(self, data: bytes) -> list[int]:
         """Take bytes; give the tokens that no later byte can change."""
-        out: list[int] = []
-        v, ids, apart, longest = self.v, self.v.ids, self.v.stays_apart, self.v.longest
-        for byte in data:
-            self.tail.append(byte)
-            end = len(self.tail)
-            for start in range(max(0, end - longest), end):
-                token = ids.get(bytes(self.tail[start:end]))
-                if token is not None and (before := self.last[start]) != -2 and (before == -1 or apart(before, token)):
-                    self.last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            if end >= 4 * longest:
-                out += self._emit()
-        return out
+        step = 3 * self.v.longest
+        if len(data) <= step:
+            self._advance(data)
+            return self._emit() if len(self.tail) >= step else []
+        return [t for at in range(0, len(data), step) for t in self.feed(data[at : at + step])]
+
+    def _advance(self, data: bytes) -> None:
+        v, last, known = self.v, self.last, self.v._pairs
+        old = len(self.tail)
+        self.tail += data
+        lead = max(0, old - v.longest + 1)
+        found = old
+        for end, (token, back) in v.endings.iter(self.tail[lead:].decode("latin-1")):
+            end += lead
+            if end < found:
+                continue  # before the new bytes, or its last token is known
+            before = last[end - back]
+            if before >= 0:
+                apart = known.get(before << 32 | token)
+                if not (v.stays_apart(before, token) if apart is None else apart):
+                    continue
+            last.append(token)
+            found = end + 1
+        if found < len(self.tail):
+            raise ValueError("the vocabulary lacks a byte")
 
     def _path(self, end: int) -> list[int]:
-        cuts = [end]
-        while cuts[-1] > 0:
-            cuts.append(cuts[-1] - len(self.v.bytes[self.last[cuts[-1]]]))
-        return cuts[::-1]
+        cuts, last, lengths = [end], self.last, self.v.lengths
+        while end > 0:
+            end -= lengths[last[end]]
+            cuts.append(end)
+        cuts.reverse()
+        return cuts
 
     def _emit(self) -> list[int]:
         """Emit up to the last cut that the paths of all live positions share."""
@@ -147,7 +163,8 @@ class Encoder:
 
     def _take(self, cut: int) -> list[int]:
         cuts = self._path(cut)
-        out = [self.last[c] for c in cuts[1:]]
+        out = [self.last[c] for c in cuts]
+        del out[0]
         self.last = [self.last[cut], *self.last[cut + 1 :]]
         del self.tail[:cut]
         return out
@@ -160,20 +177,36 @@ class Encoder:
 
 
 class PieceCache(dict):
-    """Pieces already encoded, at most two generations of ``limit`` short pieces."""
+    """Pieces already encoded, at most two generations of ``limit`` short pieces.
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000):
+    The transducer's state after a piece's first bytes is kept too, for pieces that begin alike.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000, head: int = 6):
         super().__init__()
         self.v, self.limit, self.old = vocabulary, limit, {}
+        self.encoder, self.head, self.heads = Encoder(vocabulary), head, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         found = self.old.get(piece)
         if found is None:
-            encoder = Encoder(self.v)
-            data = piece.encode()
-            found = (*encoder.feed(data), *encoder.finish())
+            encoder, data = self.encoder, piece.encode()
             if len(data) > 128:
-                return found
+                return (*encoder.feed(data), *encoder.finish())
+            if len(data) > self.head:
+                start = data[: self.head]
+                state = self.heads.get(start)
+                if state is None:
+                    encoder.feed(start)
+                    if len(self.heads) >= self.limit:
+                        self.heads.clear()
+                    self.heads[start] = tuple(encoder.last)
+                else:
+                    encoder.tail, encoder.last = bytearray(start), list(state)
+                encoder.feed(data[self.head :])
+            else:
+                encoder.feed(data)
+            found = tuple(encoder.finish())
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()

@@ -38,6 +38,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` (short) rows, else as it is, for a shuffle join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def match_spans(text: Column, pattern: Column | str) -> Column:
     """All leftmost non-overlapping matches as array<struct<start,stop,hit>>, in code points, end exclusive.
 

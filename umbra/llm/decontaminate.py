@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import small, stored
+
 #: Units that follow a number; fixed values.
 UNITS = "kg g mg lb km m cm mm mi ft l ml s ms h min kmh mph kw kwh w v hz mb gb kb tb percent meters metres miles hours minutes seconds days weeks years grams kilograms liters litres dollars euros pounds cents"
 NAME, NUMBER, UNIT = "<name>", "<num>", "<unit>"
@@ -85,14 +87,13 @@ class Decontamination:
         """
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
         index = self.index(benchmark)
-        if index.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows:
-            index = F.broadcast(index)
+        index = small(index, self.broadcast_rows)
         windows = docs.select("body", template(F.col("text")).alias("tokens")).select("body", F.explode(self._windows(F.col("tokens"), self.step)).alias("w"))
         hits = windows.select("body", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(index, "hash")
-        places = hits.select("body", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+        places = stored(hits.select("body", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "places")
 
         items = benchmark.select("item_id", aligned(F.coalesce("text", F.lit(""))).alias("item"))
-        wanted = docs.join(places.select("body").distinct(), "body", "left_semi").select("body", "doc_id", aligned(F.col("text")).alias("doc"))
+        wanted = docs.join(small(places.select("body").distinct()), "body", "left_semi").select("body", "doc_id", aligned(F.col("text")).alias("doc"))
         both = wanted.join(places, "body").join(items, "item_id")
         pairs = F.transform(
             "item",
@@ -128,4 +129,4 @@ class Decontamination:
         """The rows of ``documents`` that leak no item, with their columns as they are."""
         bad = self.leaks(documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__body")).distinct()
         rows = documents.withColumn("__body", F.xxhash64(F.coalesce("text", F.lit(""))))
-        return rows.join(bad, "__body", "left_anti").drop("__body")
+        return rows.join(small(stored(bad, "leaks")), "__body", "left_anti").drop("__body")

@@ -4,12 +4,16 @@
    smallest doc_id stands for it from here on.
 2. One permutation deals the set into bins; an empty bin borrows from a bin that a
    hash of its own picks (optimal densification). Bands of bins are bucket keys.
-3. In each bucket every member is paired with the smallest one only (a star), so
-   pairs grow with bucket sizes and not with their squares. Pairs are confirmed on
-   the full sets.
+3. In each bucket every member is paired with one centre only (a star), so pairs grow
+   with bucket sizes and not with their squares. The centre is the member that shares
+   most over all its buckets: the original, where there are variants of one. Pairs are
+   confirmed on the full sets.
 4. Members of one bucket that these links leave in different components are compared
-   with each other too, behind a one-bit sketch that is tested inside the join; so a
-   link that no star held is found as well.
+   with each other too, so that a link that no star held is found as well. Inside that
+   join stand a one-bit sketch and an exact upper bound of what two members can share:
+   inside the centre's set, what neither lacks (by counts, and a 64-part map of what
+   each lacks); outside it, shingles that any other such member has as well. Variants
+   of one original differ from each other more than from it, which the bound sees.
 5. Components of the confirmed links.
 """
 
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import stored
+from umbra.llm.common import small, stored
 from umbra.llm.components import components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -59,6 +63,7 @@ class NearDedup:
     bands: int = 42
     rows: int = 6
     seed: int = 7
+    broadcast_ids: int = 4_000_000
 
     @property
     def bins(self) -> int:
@@ -143,39 +148,68 @@ class NearDedup:
             rows = [self.shingles(x.as_py() or b"", hashes).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "found"])
 
-    def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(self._sets, "id bigint, found array<bigint>")
+    def sets_of(self, ids: DataFrame, texts: DataFrame) -> DataFrame:
+        """(id, found) of the texts with these doc_ids; the ids are broadcast up to ``broadcast_ids`` of them."""
+        return texts.join(small(ids, self.broadcast_ids), "doc_id", "left_semi").mapInArrow(self._sets, "id bigint, found array<bigint>")
+
+    def compared(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """``pairs`` (a, b) with common, na, nb: the sizes of the full sets and of what they share; and what b lacks of a.
+
+        ``lacks`` has a bit for each of 64 parts of a in which b lacks something, ``over``
+        the number of further shingles lacked.
+        """
+        sets = self.sets_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), texts)
         left = sets.select(F.col("id").alias("a"), F.col("found").alias("fa"))
         right = sets.select(F.col("id").alias("b"), F.col("found").alias("fb"))
         both = pairs.join(left, "a").join(right, "b")
-        common = F.size(F.array_intersect("fa", "fb")).cast("long")
-        counted = both.select("a", "b", common.alias("common"), (F.size("fa") + F.size("fb")).cast("long").alias("total"))
-        return counted.where(100 * F.col("common") >= self.percent * (F.col("total") - F.col("common"))).select("a", "b")
+        both = both.select("a", "b", F.size("fa").alias("na"), F.size("fb").alias("nb"), F.array_except("fa", "fb").alias("missing"))
+        parts = F.array_distinct(F.transform("missing", lambda h: F.pmod(h, F.lit(64)).cast("int")))
+        both = both.select("a", "b", "na", "nb", F.size("missing").alias("gone"), parts.alias("parts"))
+        bits = F.aggregate("parts", F.lit(0).cast("long"), lambda m, k: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+        return both.select("a", "b", (F.col("na") - F.col("gone")).alias("common"), "na", "nb", bits.alias("lacks"), (F.col("gone") - F.size("parts")).alias("over"))
+
+    def alike(self, compared: DataFrame) -> DataFrame:
+        """The compared pairs that are similar enough, as links (a, b)."""
+        union = F.col("na") + F.col("nb") - F.col("common")
+        return compared.where(100 * F.col("common").cast("long") >= self.percent * union.cast("long")).select("a", "b")
 
     def links(self, signed: DataFrame, texts: DataFrame) -> DataFrame:
         """Confirmed links (a, b) between the smallest doc_ids of different classes; enough for the components."""
         classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "h1", "h2").agg(F.min(F.struct("doc_id", "keys", "bits")).alias("r"))
         nodes = stored(classes.select(F.col("r.doc_id").alias("id"), F.col("n_shingles").alias("n"), F.col("r.keys").alias("keys"), F.col("r.bits").alias("bits")), "nodes")
         rows = nodes.select("id", F.explode("keys").alias("key"))
-        stars = rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("key", "centre")
-        shared = stored(rows.join(stars, "key"), "buckets")
-        pairs = stored(shared.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "star-pairs")
-        first = stored(self.confirmed(pairs, texts), "star-links")
+        full = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "n")
+        shared = stored(rows.join(full, "key"), "buckets")
+        weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+        heavy = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("top")).select("key", (-F.col("top.m")).alias("centre"))
+        shared = stored(shared.join(heavy, "key").select("key", "id", "centre"), "stars")
+        pairs = stored(shared.where("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "star-candidates")
+        checked = stored(self.compared(pairs, texts), "star-pairs")
+        first = stored(self.alike(checked), "star-links")
 
         of = components(first, "star-components").select("id", "component")
-        member = shared.where("id != centre").join(of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+        member = shared.where("id != centre").join(of, "id", "left").select("key", "id", "centre", F.coalesce("component", "id").alias("c"))
         mixed_keys = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        rest = member.join(mixed_keys, "key").join(nodes.select("id", "n", "bits"), "id")
-        rest = stored(rest, "rest")
-        x = rest.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-        y = rest.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
-        apart: Column = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(-(-self.bins // 64))), F.lit(0))
-        near = (F.least("na", "nb") < 64) | (apart <= self.sketch_limit)
-        sized = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
-        more = x.join(y, (x.key == y.key) & (F.col("ca") < F.col("cb")) & sized & near).select("a", "b").distinct()
-        return first.union(self.confirmed(stored(more, "rest-pairs"), texts))
+        rest = stored(member.join(mixed_keys, "key"), "rest")
+        alone = rest.select(F.col("id").alias("doc_id")).union(rest.select("centre")).distinct()
+        found = stored(self.sets_of(alone, texts).select("id", F.explode("found").alias("s")), "rest-shingles")
+        met = found.groupBy("s").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("s")
+        shares = found.join(met, "s").groupBy("id").agg(F.count("*").alias("s"))
+        near_centre = checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), F.col("na").alias("nc"), "common", "lacks", "over")
+        rest = rest.join(near_centre, ["centre", "id"]).join(nodes.select("id", "n", "bits").join(shares, "id"), "id")
+        rest = stored(rest.drop("centre").withColumn("outside", F.col("s") - F.col("common")), "rest-nodes")
+        x, y = rest.alias("x"), rest.alias("y")
+        f = lambda n: (F.col(f"x.{n}"), F.col(f"y.{n}"))
+        (xb, yb), (xn, yn), (xc, yc), (xo, yo) = f("bits"), f("n"), f("common"), f("outside")
+        apart: Column = sum((F.bit_count(xb[i].bitwiseXOR(yb[i])) for i in range(-(-self.bins // 64))), F.lit(0))
+        sketched = (F.least(xn, yn) < 64) | (apart <= self.sketch_limit)
+        both_lack = F.bit_count(F.col("x.lacks").bitwiseAND(F.col("y.lacks"))) + F.least(*f("over"))
+        inside = F.least(xc, yc, xc + yc - F.col("x.nc") + both_lack)
+        most = inside + F.least(xo, yo)
+        bound = 100 * most >= self.percent * (xn + yn - most)
+        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & sketched & bound)
+        more = stored(more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), "rest-pairs")
+        return first.union(self.alike(self.compared(more, texts)))
 
     def dedup(self, documents: DataFrame) -> DataFrame:
         """One row per row of ``documents``: doc_id, n_shingles, component_id, kept.
@@ -195,3 +229,15 @@ class NearDedup:
         rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
         component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
         return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+    def keep_one(self, documents: DataFrame) -> DataFrame:
+        """The rows of ``documents`` that are kept, with their columns as they are; of equal rows of one doc_id one stays."""
+        body = F.xxhash64(F.coalesce("text", F.lit("")))
+        gone = stored(self.dedup(documents).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
+        rows = documents.where("doc_id IS NOT NULL").withColumn("__body", body)
+        rows = rows.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+        twice = rows.groupBy("doc_id", "__body").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "__body")
+        twice = small(stored(twice, "twice"))
+        once = rows.join(twice, ["doc_id", "__body"], "left_anti")
+        more = rows.join(twice, ["doc_id", "__body"], "left_semi").dropDuplicates(["doc_id", "__body"])
+        return once.unionByName(more).drop("__body")

@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import match_spans
 
-#: Fixed classes: what is not a letter, digit or non-ASCII character parts words.
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: The same before lower-casing, when A-Z are letters too.
-ANY_GAP, ANY_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: What is not a letter, digit or non-ASCII character parts words. The characters are
+#: listed one by one, which the regular expression engine looks up in a table.
+_GAPS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+GAP, WORD = f"[{_GAPS}]", f"[^{_GAPS}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base phrases and labels; fixed values.
@@ -84,8 +83,18 @@ _FOUND = "array<struct<start:bigint,stop:bigint,label:string,priority:int,weight
 
 
 def phrase(words: str) -> str:
-    """A regular expression for whole words that stand one after another."""
-    return f"(?<!{WORD})" + f"{GAP}+".join(words.split()) + f"(?!{WORD})"
+    """A regular expression for whole words that stand one after another.
+
+    The first word comes before the look behind it, so the engine can search for it as a plain string.
+    """
+    first, *rest = words.split()
+    return f"{first}(?<!{WORD}{first})" + "".join(f"{GAP}+{w}" for w in rest) + f"(?!{WORD})"
+
+
+def count_words(text: Column) -> Column:
+    """Words of a text before lower-casing: each word with the gaps around it becomes one character."""
+    marks = F.regexp_replace(text, f"{GAP}*{WORD}+{GAP}*", "x")
+    return F.when(F.rlike(text, F.lit(WORD)), F.length(marks)).otherwise(F.lit(0)).cast("long")
 
 
 def rules() -> list[tuple[str, str, str, int, float]]:
@@ -99,7 +108,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
 
 def gate(text: Column) -> Column:
     """Whether the text, in either case, holds a string that stands in every match of some rule."""
-    return F.rlike(text, F.lit(rf"(?i)licen[cs]e|spdx|wtfpl|cc0|cc{ANY_GAP}+by"))
+    return F.rlike(text, F.lit(rf"(?i)licen[cs]e|spdx|wtfpl|cc0|cc{GAP}+by"))
 
 
 def detections(lowered: Column) -> Column:
@@ -144,7 +153,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     gated = docs.select(
         "doc_id",
-        F.regexp_count("text", F.lit(f"{ANY_WORD}+")).cast("long").alias("n_words"),
+        count_words(F.col("text")).alias("n_words"),
         F.when(gate(F.col("text")), F.translate("text", UPPER, LOWER)).alias("lowered"),
     )
     found = F.when(F.col("lowered").isNotNull(), detections(F.col("lowered"))).otherwise(F.array().cast(_FOUND))

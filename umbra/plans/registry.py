@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from umbra.plans import scoring_queries, unicode_queries
+
 FLAGSHIP = "flagship_unicode_severity"
+ALL = unicode_queries.QUERIES | scoring_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable (spark, sf_dir)."""
-    return {}
+    return {name: run for name, (run, _) in ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL."""
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}

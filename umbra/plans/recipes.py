@@ -138,7 +138,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = lambda c: c.cast("double")
     shade = F.when(s % 2 == 0, 248).otherwise(24)
     return rows.select(
-        F.col("l_orderkey").alias("page_number"), "operation_index", pick(TEXTS, p).alias("text"),
+        F.col("l_orderkey").alias("page_number"), "operation_index", (F.col("l_returnflag") == "R").alias("is_paint"), F.when(p % 4 == 0, 0.5).otherwise(1.0).alias("paint_alpha"), pick(TEXTS, p).alias("text"),
         F.struct(num(p % 640 - 30).alias("x"), num(s * 7 % 840 - 20).alias("y"), num(F.col("l_quantity") * 4).alias("width"), num(n * 2 + 6).alias("height")).alias("box"),
         (s % 5 != 0).alias("has_recorded_box"), (p % 31 == 0).alias("hidden_by_clipping"), (p % 3 != 0).alias("geometry_reliable"),
         F.when(p % 11 == 0, 2.0).otherwise(num(n * 2 + 1)).alias("font_size"), F.when(p % 13 == 0, 30.0).otherwise(100.0).alias("horizontal_scale"),
@@ -153,11 +153,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CANDIDATES_SQL = f"""
 candidates AS (
-  SELECT page_number, operation_index, text, x, y, width, height, has_recorded_box, hidden_by_clipping, geometry_reliable, font_size, horizontal_scale, transform_scale_ratio, glyph_width_ratio,
+  SELECT page_number, operation_index, is_paint, paint_alpha, text, x, y, width, height, has_recorded_box, hidden_by_clipping, geometry_reliable, font_size, horizontal_scale, transform_scale_ratio, glyph_width_ratio,
     fill_color, fill_alpha, rendering_mode, hidden_by_optional_content, shade, surrounding_confidence, declared_ink_ratio, has_exact_visible_text_match, later_occlusion_ratio, occlusion_change_ratio,
     has_nearby_replacement_text, 600 AS page_width, 800 AS page_height
   FROM (
-    SELECT l_orderkey AS page_number, p, s, n,
+    SELECT l_orderkey AS page_number, p, s, n, l_returnflag = 'R' AS is_paint, CASE WHEN p % 4 = 0 THEN 0.5 ELSE 1.0 END::DOUBLE AS paint_alpha,
       ((row_number() OVER (PARTITION BY l_orderkey ORDER BY n, p, s, l_extendedprice)) * 10 + p % 7)::INT AS operation_index,
       [{', '.join(map(q, TEXTS))}][(p % {len(TEXTS)} + 1)::INT] AS text,
       (p % 640 - 30)::DOUBLE AS x, (s * 7 % 840 - 20)::DOUBLE AS y, (l_quantity * 4)::DOUBLE AS width, (n * 2 + 6)::DOUBLE AS height,
@@ -172,3 +172,26 @@ candidates AS (
     FROM (SELECT *, l_partkey AS p, l_suppkey AS s, l_linenumber AS n FROM lineitem)
   )
 )"""
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates, and wide paints from the returned lines of the same pages."""
+    rows = candidates(spark, sf_dir)
+    b = F.col("box")
+    wide = F.struct((b["x"] - 150).alias("x"), (b["y"] - 100).alias("y"), (b["width"] * 5).alias("width"), (b["height"] + 200).alias("height"))
+    paints = rows.where("is_paint").select("page_number", "operation_index", wide.alias("box"), F.col("paint_alpha").alias("alpha"), F.lit("path").alias("kind"))
+    return rows.where("NOT is_paint").drop("is_paint", "paint_alpha", "later_occlusion_ratio", "has_nearby_replacement_text", "has_exact_visible_text_match"), paints
+
+
+DRAWN_SQL = f"""{CANDIDATES_SQL}, texts AS (SELECT * FROM candidates WHERE NOT is_paint),
+paints AS (SELECT page_number, operation_index AS paint_index, x - 150 AS px, y - 100 AS py, width * 5 AS pw, height + 200 AS ph, paint_alpha AS alpha FROM candidates WHERE is_paint)"""
+
+OCCLUDED_SQL = f"""{DRAWN_SQL}, hits AS (
+  SELECT t.page_number, t.operation_index, c.i, p.paint_index FROM texts t JOIN paints p ON p.page_number = t.page_number AND p.paint_index > t.operation_index AND p.alpha >= 0.85
+    CROSS JOIN range(128) AS c(i)
+  WHERE t.width > 0 AND t.height > 0 AND t.x + t.width * (c.i % 16 + 0.5::DOUBLE) / 16 BETWEEN px AND px + pw AND t.y + t.height * (c.i // 16 + 0.5::DOUBLE) / 8 BETWEEN py AND py + ph
+), per AS (
+  SELECT page_number, operation_index, count(DISTINCT i) / 128 AS ratio, list_sort(list(DISTINCT paint_index)) AS occluders FROM hits GROUP BY ALL
+), occluded AS (
+  SELECT t.* EXCLUDE (later_occlusion_ratio, has_nearby_replacement_text), coalesce(ratio, 0) AS later_occlusion_ratio, coalesce(occluders, []) AS later_occluder_indices FROM texts t LEFT JOIN per USING (page_number, operation_index)
+)"""

@@ -29,8 +29,9 @@ class Rule:
 #: Base kinds and common token formats, in order; fixed values.
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, r"(?i:passw(?:or)?d|secret|token|api_?key)"),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 18, r"AKIA"),
-    Rule("hex", r"[0-9a-f]+", 0, 16, r"[0-9a-f]{16}"),
+    # runs of one class that start at the same places: asking for the length in the pattern leaves the same spans
+    Rule("access", r"AKIA[A-Z0-9]{14,}", 0, 18, r"AKIA"),
+    Rule("hex", r"[0-9a-f]{16,}", 0, 16, r"[0-9a-f]{16}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, r"PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, r"gh[pousr]_"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, r"xox[abprs]-"),
@@ -49,12 +50,11 @@ def find_secrets(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
     def of(n: int, r: Rule) -> Column:
         spans = match_spans(text, r.pattern)
-        long_enough = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group)) if r.group else F.transform(spans, lambda s: s["hit"])
-        kept = F.filter(
-            F.zip_with(spans, long_enough, lambda s, h: F.struct(s["start"].alias("start"), F.lit(n).alias("ord"), s["stop"].alias("stop"), F.lit(r.kind).alias("kind"), F.length(h).alias("n"))),
-            lambda s: s["n"] >= r.least,
-        )
-        plain = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+        if r.group:
+            inner = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group))
+            spans = F.zip_with(spans, inner, lambda s, h: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), h.alias("hit")))
+        kept = F.filter(spans, lambda s: F.length(s["hit"]) >= r.least)
+        plain = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), F.lit(n).alias("ord"), s["stop"].alias("stop"), F.lit(r.kind).alias("kind")))
         return F.when(F.rlike(text, F.lit(r.gate)), plain).otherwise(F.array().cast(_SPANS))
 
     return F.array_sort(F.concat(*(of(n, r) for n, r in enumerate(rules))))
@@ -74,15 +74,15 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_versi
     """Findings (blob, rule_version, spans) of blobs that ``ledger`` (blob, rule_version) lacks.
 
     Each blob is scanned once, however many paths hold it; a blob that no gate lets
-    through has no findings and is not moved at all.
+    through has no row and is not moved at all.
     """
     text = F.coalesce(F.col(column), F.lit(""))
     found = versions.select(text.alias("text")).where(gate(F.col("text"), rules))
     blobs = addressed(found).groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    spans = blobs.select("blob", F.lit(rule_version).alias("rule_version"), find_secrets(F.col("text"), rules).alias("spans"))
-    return spans.where(F.size("spans") > 0)
+    # no filter on the spans: it would be pushed below and find them twice
+    return blobs.select("blob", F.lit(rule_version).alias("rule_version"), find_secrets(F.col("text"), rules).alias("spans"))
 
 
 def join_back(versions: DataFrame, findings: DataFrame, column: str = "text") -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.plans import evidence_queries, geometry_queries, scoring_queries, unicode_queries
+from umbra.plans import drawing_queries, evidence_queries, geometry_queries, scoring_queries, unicode_queries
 
 FLAGSHIP = "flagship_unicode_severity"
-ALL = unicode_queries.QUERIES | scoring_queries.QUERIES | evidence_queries.QUERIES | geometry_queries.QUERIES
+ALL = unicode_queries.QUERIES | scoring_queries.QUERIES | evidence_queries.QUERIES | geometry_queries.QUERIES | drawing_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

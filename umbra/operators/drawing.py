@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from umbra.functions.geometry import agree, extent_along, multiply, transform_box
 from umbra.functions.text import trim, where_once
@@ -190,42 +193,58 @@ class Page:
         return None
 
 
-def fold_page(ops: list[tuple[int, str, str]], layers: dict[str, bool]):
+def event(page: Page, index: int, fn: str, raw: str | None) -> tuple | None:
+    """The row that one operation makes, if any; a text moves the cursor on, drawn or blank."""
+    made = page.run(fn, json.loads(raw) if raw else [])
+    if made is None:
+        return None
+    r = page.now
+    kind, text, advance = made if made[0] == "text" else (made[1], None, None)
+    if text is not None:
+        page.set(x=r.x + advance * r.size * r.scale / 100)
+    return (index, kind, text, advance, r.size, r.scale, r.rise, list(r.ctm), list(r.text_matrix), r.x, r.y, r.colour, r.colour_kind, r.alpha, r.mode, r.clipped, not page.visible[-1])
+
+
+def fold_page(ops: list[tuple[int, str, str]], layers: dict[str, bool]) -> list[tuple]:
     """Rows of texts and paints of a page's (index, function, JSON arguments) in order."""
     page = Page(layers)
-    for index, fn, raw in ops:
-        made = page.run(fn, json.loads(raw) if raw else [])
-        if made is None:
-            continue
-        r, text, advance = page.now, made[1] if made[0] == "text" else None, made[2] if made[0] == "text" else None
-        yield (index, "text" if text is not None else made[1], text, advance, r.size, r.scale, r.rise, list(r.ctm), list(r.text_matrix), r.x, r.y, r.colour, r.colour_kind, r.alpha, r.mode, r.clipped, not page.visible[-1])
-        if text is not None:
-            page.set(x=r.x + advance * r.size * r.scale / 100)
+    return [row for op in ops if (row := event(page, *op))]
 
 
 def interpret(operations: DataFrame, page: list[str], layers: DataFrame | None = None) -> DataFrame:
     """Texts and paints of operations (page, operation_index, fn, args as JSON), one row each.
 
-    ``layers`` (page[0], layer, visible) has the layers that are off. A page is folded in one
-    task by its nature; pages run side by side. Repeated indices keep their order by fn and args.
+    ``layers`` (page[0], layer, visible) has the layers that are off. Operations are
+    dealt by page, sorted, and folded as they stream by, so memory does not grow with a
+    page. Repeated indices keep their order by fn and args.
     """
     kinds = ", ".join(f"`{c}` {operations.schema[c].dataType.simpleString()}" for c in page)
     schema = EVENT.format(page=kinds)
-    names = [part.strip().split(" ")[0].strip("`") for part in schema.split(", ")]
     rows = operations.select(*page, "operation_index", "fn", "args")
     if layers is not None:
         off = layers.groupBy(page[0]).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layer", "visible")))).alias("layers"))
         rows = rows.join(off, page[0], "left")
     else:
         rows = rows.withColumn("layers", F.lit(None).cast("string"))
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["operation_index", "fn", "args"])
-        known = pdf["layers"].iloc[0]
-        out = fold_page(list(zip(pdf["operation_index"], pdf["fn"], pdf["args"], strict=True)), json.loads(known) if known else {})
-        return pd.DataFrame([(*key, *row) for row in out], columns=names)
-
-    return rows.groupBy(*page).applyInPandas(fold, schema)
+    rows = rows.select(*page, "operation_index", "fn", "args", "layers").repartition(*page).sortWithinPartitions(*page, "operation_index", "fn", "args")
+    width = len(page)
+    kinds_of = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema).fields]
+    names = [*page, *(part.split(" ")[0] for part in EVENT.split(", ")[1:])]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, Page({})
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:width] != key:
+                    key, state = row[:width], Page(json.loads(row[-1]) if row[-1] else {})
+                made = event(state, *row[width:-1])
+                if made:
+                    out.append((*key, *made))
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], names=names)
+
+    return rows.mapInArrow(fold, schema)
 
 
 def finished_texts(events: DataFrame, viewport: Column) -> DataFrame:

@@ -74,4 +74,26 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, doc_id)::BIGINT
 FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON root = doc_id
 """
 
-SQL = {"op3_minhash_near_dedup": OP3, "op5_chat_format": OP5, "op10_quality_rules": OP10}
+#: The edit distance of this engine counts bytes; letters beyond ASCII are put on single bytes for it.
+BEYOND = "àâäáãçéèêëíìîïñóòôöõúùûüßœ"
+SINGLE = " || ".join(f"chr({c})" for c in range(1, 32) if c not in (9, 10, 13))
+
+OP2 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (SELECT row_id, doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS raw FROM docs),
+norm AS (SELECT *, lower(trim(raw, ' ' || chr(9) || chr(13))) AS line FROM lines),
+firsts AS (
+  SELECT line, min({{'d': coalesce(doc_id, -9223372036854775808), 'p': pos}}) AS first FROM norm WHERE length(line) >= 20 GROUP BY line
+), cut AS (SELECT *, length(line) AS n, length(line) // 3 AS k, translate(line, '{BEYOND}', {SINGLE}) AS bytes FROM firsts),
+near AS (
+  SELECT DISTINCT a.line FROM cut a JOIN cut b ON abs(a.n - b.n) <= 2 AND b.first < a.first
+    AND (a.line[:a.k] = b.line[:a.k] OR a.line[a.n - a.k + 1:] = b.line[b.n - a.k + 1:] OR contains(b.line, a.line[a.k + 1:a.n - a.k])) AND levenshtein(a.bytes, b.bytes) <= 2
+), fates AS (
+  SELECT row_id, doc_id, pos, CASE WHEN f.line IS NULL THEN '.' WHEN f.first <> {{'d': coalesce(doc_id, -9223372036854775808), 'p': pos}} THEN 'x' WHEN n.line IS NOT NULL THEN 'n' ELSE '.' END AS fate
+  FROM norm LEFT JOIN firsts f ON f.line = norm.line LEFT JOIN near n ON n.line = norm.line
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (fate = 'x')::BIGINT AS n_equal, count(*) FILTER (fate = 'n')::BIGINT AS n_near, string_agg(fate, '' ORDER BY pos) AS flags FROM fates GROUP BY row_id, doc_id
+"""
+
+SQL = {"op2_line_dedup": OP2, "op3_minhash_near_dedup": OP3, "op5_chat_format": OP5, "op10_quality_rules": OP10}

@@ -11,6 +11,7 @@ of all its words, each with the word itself masked.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +63,11 @@ class WindowModel:
     def ids(self) -> int:
         return self.known + self.hashed
 
+    @property
+    def kind(self) -> type:
+        """Short integers where they do: numpy sorts those by digits."""
+        return np.int16 if self.ids < 1 << 15 else np.int32
+
     @property
     def each(self) -> int:
         return -(-self.ids // self.classes)
@@ -70,7 +76,7 @@ class WindowModel:
         """The most frequent words of the whole corpus (ties by the word), at most ``known`` of them."""
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            counts: dict[bytes, int] = {}
+            counts: Counter[bytes] = Counter()
 
             def out() -> pa.RecordBatch:
                 made = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
@@ -79,8 +85,7 @@ class WindowModel:
 
             for batch in batches:
                 for x in batch.column(0):
-                    for w in (x.as_py() or b"").split():
-                        counts[w] = counts.get(w, 0) + 1
+                    counts.update((x.as_py() or b"").split())
                 if len(counts) > 200_000:
                     yield out()
             if counts:
@@ -98,20 +103,22 @@ class WindowModel:
 
     def windows(self, texts: list[bytes], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words of the texts, the ids around each (``self.ids`` beyond a text's ends), and the texts' word counts."""
-        rows = [np.fromiter(map(ids.__getitem__, t.split()), np.int32) for t in texts]
+        rows = [np.fromiter(map(ids.__getitem__, t.split()), self.kind) for t in texts]
         sizes = np.array([len(x) for x in rows], np.int64)
-        pad = np.full(self.side, self.ids, np.int32)
+        pad = np.full(self.side, self.ids, self.kind)
         flat = np.concatenate([pad] + [x for row in rows for x in (row, pad)])
         at = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(rows) + 1) * self.side, sizes)
         around = [flat[at + d] for d in range(-self.side, self.side + 1) if d]
-        return flat[at], np.stack(around) if len(at) else np.empty((2 * self.side, 0), np.int32), sizes
-
-    def forward(self, weights: list[np.ndarray], around: np.ndarray):
-        """Hidden values (with a constant 1) and log-probabilities of the classes."""
-        embed, to_class, _ = weights
-        hidden = np.tanh(sum(embed[k][around[k]] for k in range(2 * self.side)))
-        hidden = np.concatenate([hidden, np.ones((len(hidden), 1), np.float32)], axis=1)
-        return hidden, log_softmax(hidden @ to_class)
+        return flat[at], np.stack(around) if len(at) else np.empty((2 * self.side, 0), self.kind), sizes
+
+    def hidden(self, weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
+        """Hidden values of each window, and a constant 1."""
+        out = np.ones((around.shape[1], self.size + 1), np.float32)
+        total = weights[0][0][around[0]]
+        for k in range(1, 2 * self.side):
+            total += weights[0][k][around[k]]
+        np.tanh(total, out=out[:, :-1])
+        return out
 
     def by_class(self, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         group = targets // self.each
@@ -123,27 +130,28 @@ class WindowModel:
 
     def log_probabilities(self, weights: list[np.ndarray], targets: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target given what is around it."""
-        hidden, classes = self.forward(weights, around)
-        out = classes[np.arange(len(targets)), targets // self.each]
+        hidden = self.hidden(weights, around)
+        out = chosen(hidden @ weights[1], targets // self.each)
         for c, at in self.by_class(targets):
-            out[at] += log_softmax(hidden[at] @ weights[2][c])[np.arange(len(at)), targets[at] % self.each]
+            out[at] += chosen(hidden[at] @ weights[2][c], targets[at] % self.each)
         return out
 
     def step(self, weights: list[np.ndarray], targets: np.ndarray, around: np.ndarray) -> None:
         """One step of gradient descent, in place."""
         embed, to_class, to_word = weights
-        hidden, classes = self.forward(weights, around)
+        hidden = self.hidden(weights, around)
         n = len(targets)
         rate = np.float32(self.rate)
-        error = np.exp(classes)
+        error = softmax(hidden @ to_class)
         error[np.arange(n), targets // self.each] -= 1
         back = error @ to_class[:-1].T
         words = {}
         for c, at in self.by_class(targets):
-            e = np.exp(log_softmax(hidden[at] @ to_word[c]))
+            own = hidden[at]
+            e = softmax(own @ to_word[c])
             e[np.arange(len(at)), targets[at] % self.each] -= 1
             back[at] += e @ to_word[c][:-1].T
-            words[c] = hidden[at].T @ e / max(len(at), 32)
+            words[c] = own.T @ e / max(len(at), 32)
         to_class -= rate * (hidden.T @ error) / n * 4
         for c, g in words.items():
             to_word[c] -= rate * g * 4
@@ -234,9 +242,19 @@ class WindowModel:
         return scored.select("doc_id", "n_words", "log_p", F.when(F.col("n_words") > 0, F.col("log_p") / F.col("n_words")).alias("mean_log_p"))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray) -> np.ndarray:
+    """Row by row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logarithm of the softmax of each row at one place."""
+    x -= x.max(axis=1, keepdims=True)
+    value = x[np.arange(len(x)), at]
+    return value - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def chunks(texts: list[bytes], least: int = 300_000) -> Iterator[list[bytes]]:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from umbra.llm.line_dedup import LineDedup, band_distance
+from umbra.llm.line_dedup import LineDedup, bag, bags_allow, band_distance, line_distance, packed, packed_allow
 
 
 def distance(a, b):
@@ -42,6 +42,10 @@ def test_band_distance_is_exact_up_to_the_limit(spark):
         df = spark.createDataFrame(rows, "a string, b string, want int")
         out = df.select("a", "b", "want", band_distance(F.split("a", ""), F.split("b", ""), edits).alias("got"))
         assert out.where("got != want").collect() == []
+        trimmed = df.select("want", line_distance(F.col("a"), F.col("b"), edits).alias("got"), bags_allow(bag(F.col("a")), bag(F.col("b")), edits).alias("may"))
+        allowed = df.where(packed_allow(packed(F.col("a")), packed(F.col("b")), edits)).where(f"want <= {edits}").count()
+        assert allowed == df.where(f"want <= {edits}").count()
+        assert trimmed.where(f"got != want OR (want <= {edits} AND NOT may)").collect() == []
 
 
 def brute(rows, edits, least):

@@ -14,7 +14,60 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import stored
+from umbra.llm.common import small, stored
+
+
+#: Characters whose counts are compared before a distance is worked out; any choice is right.
+COUNTED = "etaoinrslu d"
+
+
+def bag(line: Column) -> Column:
+    """How often each of a few characters stands in a line."""
+    return F.array(*(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED))
+
+
+def bags_allow(a: Column, b: Column, edits: int) -> Column:
+    """An edit changes two counts by one at most."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d) <= 2 * edits
+
+
+#: Characters whose counts, modulo 64, are packed into a number that goes along with a key.
+PACKED = "etaoinrslu"
+
+
+def packed(line: Column) -> Column:
+    counts = ((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(63)) for c in PACKED)
+    return sum((F.shiftleft(n, 6 * k) for k, n in enumerate(counts)), F.lit(0).cast("long"))
+
+
+def packed_allow(a: Column, b: Column, edits: int) -> Column:
+    """Like :func:`bags_allow`; counts that wrapped are nearer than they are, never farther."""
+    part = lambda x, k: F.shiftright(x, 6 * k).bitwiseAND(F.lit(63))
+    apart = (F.abs(part(a, k) - part(b, k)) for k in range(len(PACKED)))
+    return sum((F.least(d, F.lit(64) - d) for d in apart), F.lit(0)) <= 2 * edits
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix, found by halving steps."""
+    most = F.least(F.length(a), F.length(b))
+    same = lambda n: (n <= most) & (F.substring(a, F.lit(1), n) == F.substring(b, F.lit(1), n))
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(20, -1, -1))), F.lit(0), lambda n, step: F.when(same(n + step), n + step).otherwise(n))
+
+
+def line_distance(a: Column, b: Column, edits: int) -> Column:
+    """min(edit distance, edits + 1) of two lines, length(a) <= length(b) <= length(a) + edits, edits <= length(a).
+
+    What both begin and end with is left out, but for as many characters as the band is wide to each side.
+    """
+
+    def of(s: Column) -> Column:
+        head = F.greatest(s["head"] - edits, F.lit(0))
+        tail = F.greatest(F.least(s["tail"], F.least(F.length(s["a"]), F.length(s["b"])) - s["head"]) - edits, F.lit(0))
+        core = lambda t: F.split(F.substring(t, head + 1, F.length(t) - head - tail), "")
+        return band_distance(core(s["a"]), core(s["b"]), edits)
+
+    both = F.struct(a.alias("a"), b.alias("b"), common_prefix(a, b).alias("head"), common_prefix(F.reverse(a), F.reverse(b)).alias("tail"))
+    return F.transform(F.array(both), of)[0]
 
 
 def band_distance(a: Column, b: Column, edits: int) -> Column:
@@ -24,6 +77,11 @@ def band_distance(a: Column, b: Column, edits: int) -> Column:
     vertical steps up and down, moved along with the diagonal for each character of b.
     Bit ``2 * edits - d`` is the cell that is d rows above the band's lower end.
     """
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: _walk(s["a"], s["b"], edits))[0]
+
+
+def _walk(a: Column, b: Column, edits: int) -> Column:
+    """The walk along the band; ``a`` and ``b`` are bound, so they are not worked out at each step."""
     top, full = 2 * edits, (1 << (2 * edits + 1)) - 1
     lit = lambda v: F.lit(v).cast("long")
     flip = lambda x: x.bitwiseXOR(lit(full))
@@ -57,7 +115,9 @@ def band_distance(a: Column, b: Column, edits: int) -> Column:
 
     raise_by = lit(edits)
     start = F.struct(lit(((1 << (edits + 1)) - 1) << edits).alias("up"), lit(0).alias("down"), raise_by.alias("score"))
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda s: s["score"])
+    # the score falls by one at most for each character after the diagonal ends
+    lost = 2 * raise_by + F.size(b) - F.size(a)
+    walked = F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, lambda s, j: F.when(s["score"] > lost, s).otherwise(step(s, j)), lambda s: s["score"])
     return F.least(walked, lit(edits + 1))
 
 
@@ -80,53 +140,55 @@ class LineDedup:
         rows = rows.withColumn("chars", F.length("line"))
         return rows.withColumn("line_id", F.when(F.col("chars") >= self.min_chars, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "body", "pos")))
 
-    def _segments(self, length: Column) -> list[tuple[Column, Column]]:
-        """0-based start and length of each segment of a line; later segments take the remainder."""
-        n = self.edits + 1
-        size, extra = F.floor(length / n).cast("int"), F.pmod(length, F.lit(n)).cast("int")
-        out, start = [], F.lit(0)
-        for k in range(n):
-            own = size + F.when(extra >= n - k, F.lit(1)).otherwise(F.lit(0))
-            out.append((start, own))
-            start = start + own
-        return out
-
-    def _key(self, length: Column, segment: int, start: Column, size: Column) -> Column:
-        return F.xxhash64(length, F.lit(segment), F.substring(F.col("line"), start + 1, size))
-
-    def index_keys(self) -> Column:
-        """The keys under which a line can be found."""
-        return F.array(*(self._key(F.col("chars"), k, start, size) for k, (start, size) in enumerate(self._segments(F.col("chars")))))
-
-    def probe_keys(self) -> Column:
-        """array<struct<key, less>>: where lines shorter by ``less`` characters can be found.
+    def probes(self) -> list[tuple[int, int, int]]:
+        """(less, segment, shift): which substrings to look for among lines shorter by ``less`` characters.
 
         Of the substrings of a segment's length only those are taken whose place lets
         the edits before and behind it fit into ``edits`` (multi-match-aware bounds).
         """
         out = []
         for less in range(self.edits + 1):
-            length = F.col("chars") - less
-            for k, (start, size) in enumerate(self._segments(length)):
-                low = max(-k, less - (self.edits - k))
-                high = min(k, less + (self.edits - k))
-                out += [F.struct(self._key(length, k, start + shift, size).alias("key"), F.lit(less).alias("less")) for shift in range(low, high + 1)]
-        return F.array(*out)
-
-    def near_links(self, lines: DataFrame) -> DataFrame:
+            for k in range(self.edits + 1):
+                low, high = max(-k, less - (self.edits - k)), min(k, less + (self.edits - k))
+                out += [(less, k, shift) for shift in range(low, high + 1)]
+        return out
+
+    def keyed(self, lines: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
+        """(key, less, line_id, counts) of each line for each (less, segment, shift) in ``wanted``.
+
+        The key is a hash of the length, segment number and content. The parameters are
+        exploded first, so that one short expression serves all of them.
+        """
+        n = self.edits + 1
+        one = [F.struct(*(F.lit(v).alias(name) for name, v in zip(("less", "k", "shift"), w, strict=True))) for w in wanted]
+        # counted in a projection of its own, or it would be done for each exploded row
+        rows = lines.select("line_id", "line", "chars", packed(F.col("line")).alias("counts")).select("line_id", "line", "chars", "counts", F.explode(F.array(*one)).alias("w")).select("line_id", "line", "counts", "w.*", (F.col("chars") - F.col("w.less")).alias("length"))
+        size, extra = F.expr(f"int(length div {n})"), F.expr(f"int(length % {n})")
+        # the last segments take the remainder
+        longer = F.greatest(F.lit(0), F.col("k") - n + extra)
+        start = F.col("k") * size + longer + F.col("shift")
+        own = size + F.when(F.col("k") >= n - extra, 1).otherwise(0)
+        return rows.select(F.xxhash64("length", "k", F.substring(F.col("line"), start + 1, own)).alias("key"), "less", "line_id", "counts")
+
+    def near_links(self, documents: DataFrame, spots: DataFrame) -> DataFrame:
         """(a, b): ids of different lines within ``edits`` edits."""
-        long_enough = lines.where(F.col("chars") >= self.min_chars).select("line_id", "line", "chars")
-        index = long_enough.select(F.explode(self.index_keys()).alias("key"), F.col("line_id").alias("a"))
-        probes = long_enough.select(F.explode(self.probe_keys()).alias("p"), F.col("line_id").alias("b")).select("p.key", "p.less", "b")
+        long_enough = self.lines(documents).where(F.col("chars") >= self.min_chars)
+        index = self.keyed(long_enough, [(0, k, 0) for k in range(self.edits + 1)]).select("key", F.col("line_id").alias("a"), F.col("counts").alias("na"))
+        probes = self.keyed(long_enough, self.probes()).select("key", "less", F.col("line_id").alias("b"), F.col("counts").alias("nb"))
         index = index.repartition("key").dropDuplicates(["key", "a"])
         probes = probes.repartition("key").dropDuplicates(["key", "less", "b"])
-        meets = (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & ((F.col("less") > 0) | (F.col("a") < F.col("b")))
-        pairs = stored(index.join(probes, meets).select("a", "b").distinct(), "line-pairs")
-        ids = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-        texts = long_enough.join(ids, "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-        both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("lb")), "b")
-        chars = both.select("a", "b", F.split("la", "").alias("ca"), F.split("lb", "").alias("cb"))
-        return chars.where(band_distance(F.col("ca"), F.col("cb"), self.edits) <= self.edits).select("a", "b")
+        meets = (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & ((F.col("less") > 0) | (F.col("a") < F.col("b"))) & packed_allow(F.col("na"), F.col("nb"), self.edits)
+        pairs = stored(index.hint("shuffle_hash").join(probes, meets).select("a", "b").distinct(), "line-pairs")
+        ids = stored(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct(), "line-ids")
+        # one text for each line is enough: the texts of the smallest hash among those that hold it
+        holders = small(stored(spots.join(small(ids), "line_id").groupBy("line_id").agg(F.min("body").alias("body")).select(F.col("body").alias("__body")).distinct(), "line-holders"))
+        held = documents.join(holders, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__body"), "left_semi")
+        texts = self.lines(held).join(small(ids), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
+        texts = stored(texts.withColumn("bag", bag(F.col("line"))), "line-texts")
+        side = lambda n: texts.select(F.col("line_id").alias(n), F.col("line").alias(f"l{n}"), F.col("bag").alias(f"bag_{n}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        close = F.when(bags_allow(F.col("bag_a"), F.col("bag_b"), self.edits), line_distance(F.col("la"), F.col("lb"), self.edits) <= self.edits).otherwise(F.lit(False))
+        return both.where(close).select("a", "b")
 
     def flags(self, documents: DataFrame) -> DataFrame:
         """doc_id, body, flags: for each text the fate of each of its lines, '.', 'x' (equal) or 'n' (near).
@@ -135,10 +197,9 @@ class LineDedup:
         order is by doc_id (null first) and place. Lines are equal if they are so in lower
         case without blanks around them. Copies of a row keep or lose the same lines.
         """
-        lines = self.lines(documents)
-        spots = lines.select("doc_id", "body", "pos", "line_id")
+        spots = stored(self.lines(documents).select("doc_id", "body", "pos", "line_id"), "line-spots")
         first = spots.groupBy("line_id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
-        links = stored(self.near_links(lines), "line-links")
+        links = stored(self.near_links(documents, spots), "line-links")
         ends = first.join(links.select(F.col("a").alias("line_id")).union(links.select("b")).distinct(), "line_id", "left_semi").select("line_id", "first")
         x, y = ends.select(F.col("line_id").alias("a"), F.col("first").alias("fa")), ends.select(F.col("line_id").alias("b"), F.col("first").alias("fb"))
         later = links.join(x, "a").join(y, "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("line_id")).distinct().withColumn("near", F.lit(True))

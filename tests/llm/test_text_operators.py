@@ -210,6 +210,16 @@ def test_window_model_learns_from_both_sides(spark):
     assert model.score(docs.limit(0)).count() == 0
 
 
+def test_window_model_tells_words_of_one_hashed_id_apart(spark):
+    rows = [(i, "the usual cat") for i in range(30)] + [(100, "the q9z cat"), (101, "the usual cat usual q9z"), (102, None), (100, "the q9z cat")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = WindowModel(known=2, hashed=1, classes=1, size=4).score(docs).collect()
+    assert len(out) == len(rows)
+    got = {x.doc_id: x.log_p for x in out}
+    # usual stands 32 times and q9z 3 times in the corpus, on the same id
+    assert got[0] - got[100] == pytest.approx(math.log(32 / 3), abs=1e-4) and got[102] == 0
+
+
 def test_window_model_is_a_distribution_and_ignores_the_word_itself():
     model = WindowModel(known=8, hashed=8, classes=4, size=8)
     ids = WordIds({b"a": 0, b"b": 1}, 8)

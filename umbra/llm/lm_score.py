@@ -1,12 +1,14 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
 Words become ids of a vocabulary counted over the whole corpus; rarer words share
-hashed ids. The network predicts each id from the ids on both sides: embeddings of the
+hashed ids, and within an id each has its share of the id's occurrences, from a table
+of all words that grows with the corpus and is joined by shuffle. The network predicts each id from the ids on both sides: embeddings of the
 window, one for each distance, are summed, passed through tanh, and give a softmax
 over classes of ids and one over the ids of a class. Each round, every partition
 trains on all its texts from the same weights, and the weights are averaged, weighed by
 words and summed in parts by a shuffle. A document's score is the sum of the log-probabilities
-of all its words, each with the word itself masked.
+of all its words, each with the word itself masked: that of the id, and of the word
+within the id.
 """
 
 from __future__ import annotations
@@ -21,6 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.common import stored
+
+
+def word_hash(word: bytes) -> int:
+    """The hash that Spark's xxhash64 gives."""
+    h = xxhash.xxh64_intdigest(word, 42)
+    return h - (1 << 64) if h >> 63 else h
 
 
 class WordIds(dict):
@@ -34,13 +43,14 @@ class WordIds(dict):
         if len(self) > 300_000:
             self.clear()
             self.update(self.vocabulary)
-        self[word] = i = len(self.vocabulary) + xxhash.xxh3_64_intdigest(word) % self.hashed
+        self[word] = i = len(self.vocabulary) + word_hash(word) % self.hashed
         return i
 
 
 @dataclass(frozen=True)
 class WindowModel:
-    """``known`` most frequent words have ids of their own, all others share ``hashed`` ids.
+    """``known`` most frequent words have ids of their own, all others share ``hashed`` ids,
+    within which their own counts tell them apart.
 
     ``classes`` softmax classes of equally many ids, ``side`` words on either side,
     ``size`` numbers in an embedding, ``rounds`` passes over the corpus, ``rate`` the
@@ -72,8 +82,8 @@ class WindowModel:
     def each(self) -> int:
         return -(-self.ids // self.classes)
 
-    def vocabulary(self, documents: DataFrame) -> dict[bytes, int]:
-        """The most frequent words of the whole corpus (ties by the word), at most ``known`` of them."""
+    def counted(self, documents: DataFrame) -> DataFrame:
+        """(word, n) of every word of the whole corpus."""
 
         def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts: Counter[bytes] = Counter()
@@ -92,9 +102,21 @@ class WindowModel:
                 yield out()
 
         found = documents.select(F.col("text").cast("binary")).mapInArrow(words, "word binary, n bigint")
-        top = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(self.known)
+        return stored(found.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+
+    def vocabulary(self, counted: DataFrame) -> dict[bytes, int]:
+        """The most frequent words (ties by the word), at most ``known`` of them."""
+        top = counted.orderBy(F.desc("n"), "word").limit(self.known)
         return {bytes(r.word): i for i, r in enumerate(top.collect())}
 
+    def within(self, counted: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+        """(word_key, log_share): of each word without an id of its own, the logarithm of its share of its id's occurrences."""
+        own = counted.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")
+        rare = counted.join(F.broadcast(own), "word", "left_anti").select(F.xxhash64("word").alias("word_key"), "n")
+        rare = rare.withColumn("id", F.pmod("word_key", F.lit(self.hashed)))
+        totals = rare.groupBy("id").agg(F.sum("n").alias("all"))
+        return rare.join(F.broadcast(totals), "id").select("word_key", F.log(F.col("n") / F.col("all")).alias("log_share"))
+
     def start(self) -> list[np.ndarray]:
         """Fresh weights: embeddings by distance, class and word outputs."""
         r = np.random.default_rng(self.seed)
@@ -214,20 +236,23 @@ class WindowModel:
 
         Input columns doc_id and text; others are ignored. A null or blank text has no
         words, log_p 0 and a null mean; repeated rows have equal scores; an empty table
-        gives no rows. The vocabulary and the weights are the only things that reach the
-        driver; their size is fixed by the parameters.
+        gives no rows. The words with ids of their own and the weights are the only things
+        that reach the driver; their size is fixed by the parameters. All other words
+        stay in a table, so a word's log-probability is its own however many share its id.
         """
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        vocabulary = self.vocabulary(docs)
+        counted = self.counted(docs)
+        vocabulary = self.vocabulary(counted)
         weights = self.train(docs, vocabulary)
         shared = documents.sparkSession.sparkContext.broadcast((vocabulary, weights))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, sent = shared.value
             ids = WordIds(known, self.hashed)
+            hashes: dict[bytes, int] = {}
             for batch in batches:
-                counts, sums = [], []
-                for some in chunks([x.as_py() or b"" for x in batch.column(1)]):
+                counts, sums, keys, times = [], [], [], []
+                for some in chunks([x.as_py() or b"" for x in batch.column(2)]):
                     targets, around, sizes = self.windows(some, ids)
                     logs = [np.zeros(1)]
                     for at in range(0, len(targets), 8 * self.batch):
@@ -236,10 +261,28 @@ class WindowModel:
                     ends = np.cumsum(sizes)
                     counts += sizes.tolist()
                     sums += (run_sums[ends] - run_sums[ends - sizes]).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64())], names=["doc_id", "n_words", "log_p"])
-
-        scored = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, n_words bigint, log_p double")
-        return scored.select("doc_id", "n_words", "log_p", F.when(F.col("n_words") > 0, F.col("log_p") / F.col("n_words")).alias("mean_log_p"))
+                    for text in some:
+                        rare = Counter(w for w in text.split() if w not in known)
+                        if len(hashes) > 300_000:
+                            hashes.clear()
+                        for w in rare:
+                            if w not in hashes:
+                                hashes[w] = word_hash(w)
+                        keys.append([hashes[w] for w in rare])
+                        times.append(list(rare.values()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
+                    names=["row", "doc_id", "n_words", "of_ids", "keys", "times"],
+                )
+
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary"))
+        kinds = "row bigint, doc_id bigint, n_words bigint, of_ids double, keys array<bigint>, times array<bigint>"
+        scored = stored(rows.mapInArrow(run, kinds), "lm-scores")
+        rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("word_key"), F.col("w.times").alias("times"))
+        charged = rare.join(self.within(counted, vocabulary), "word_key").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("of_words"))
+        out = scored.select("row", "doc_id", "n_words", "of_ids").join(charged, "row", "left")
+        out = out.select("doc_id", "n_words", (F.col("of_ids") + F.coalesce("of_words", F.lit(0.0))).alias("log_p"))
+        return out.select("doc_id", "n_words", "log_p", F.when(F.col("n_words") > 0, F.col("log_p") / F.col("n_words")).alias("mean_log_p"))
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

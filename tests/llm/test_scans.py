@@ -83,3 +83,13 @@ def test_better_rules_suppress_what_they_contain(spark):
     assert [(d.label, d.priority) for d in out[1].found] == [("gpl-3", 2)]
     assert [d.label for d in out[2].found] == ["bsd-3-clause"] and out[3].found == []
     assert len(license_scan.rules()) > 300
+
+
+def test_identifiers_fire_on_plain_headers(spark):
+    docs = spark.createDataFrame([(i, f"// SPDX-License-Identifier: {short.replace(' ', '-').upper()}\nint x;") for i, (_, _, _, short) in enumerate(license_scan.FAMILIES)], "doc_id long, text string")
+    out = {x.doc_id: x for x in license_scan.license_digest(license_scan.scan_licenses(docs)).collect()}
+    assert all(label in out[i].labels.split(",") and out[i].score == 1.0 for i, (label, *_) in enumerate(license_scan.FAMILIES))
+
+
+def test_keywords_stand_in_their_phrases():
+    assert all(keyword in pattern for keyword, pattern, *_ in license_scan.rules())

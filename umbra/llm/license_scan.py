@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with Spark expressions only.
 
-Rules are regular expressions over lower-cased text, gated by a keyword of their
-license family. A detection inside another one of better priority, or inside a
+Rules are regular expressions over lower-cased text, gated by a keyword that stands in
+each of their matches. A detection inside another one of better priority, or inside a
 larger one of the same priority, is suppressed; base rules are never suppressed.
 """
 
@@ -102,7 +102,7 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     out = [(k, phrase(p), label, 0, 1.0) for p, label, k in BASE]
     for label, keyword, name, short in FAMILIES:
         out += [(keyword, phrase(t.format(name)), label, p, w) for t, p, w in TEMPLATES]
-        out.append((keyword, phrase(IDENTIFIER[0].format(short)), label, *IDENTIFIER[1:]))
+        out.append(("spdx", phrase(IDENTIFIER[0].format(short)), label, *IDENTIFIER[1:]))
     return out
 
 

@@ -133,6 +133,19 @@ def test_decontamination_sees_templates_and_slots(spark):
     assert d.leaks(docs.limit(0), bench).count() == 0 and d.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_runs_at_any_place_and_slot_rich_copies(spark):
+    short = "Tom pays 5 euros and Anna pays 12 dollars while walking"
+    rich = "of Anna Bell Carl Dorn Emil Fink 12 kg 30 km 7 mg 9 cm"
+    half = ITEM + " and then on one long and cold road he pays 40 coins at last"
+    # the first run ends at "and later"; in the second 40 stands for two values
+    clash = half.replace("again and then", "again and later").replace("40 coins", "41 coins")
+    rows = [(i, " ".join(["word"] * i) + ". " + short) for i in range(1, 9)] + [(20, "see " + rich), (21, clash), (22, "no leak in here, only words that stand one after another for a while")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, short), (2, rich), (3, half)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in Decontamination().leaks(docs, bench).collect()}
+    assert got == {*((i, 1) for i in range(1, 9)), (20, 2), (21, 3)}
+
+
 def kneser_ney(texts, order, open_words):
     """Probabilities by plain counting: a function of (history, word)."""
     counts = [Counter() for _ in range(order + 1)]

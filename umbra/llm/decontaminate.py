@@ -2,9 +2,9 @@
 
 Numbers, names and units become typed placeholders, so a question whose values were
 changed keeps its template. Hashed windows of template tokens are joined between
-benchmark and documents; each hit fixes an alignment, along which the whole item is
-compared: a long enough run of equal template tokens is a leak if the placeholders'
-values agree one to one.
+benchmark and documents; windows of little but placeholders by the words they stand for.
+Each hit fixes an alignment, along which the whole item is compared: a long enough run
+of equal template tokens is a leak if the placeholders' values in it agree one to one.
 """
 
 from __future__ import annotations
@@ -49,12 +49,12 @@ def is_slot(token: Column) -> Column:
 class Decontamination:
     """``width`` tokens in a window, every ``step``-th window of a document, and the
     least run of equal tokens, which is ``width + step - 1`` or more so that every
-    such run holds a window. Windows of the benchmark need ``literals`` tokens that are
-    no placeholders. A benchmark of more than ``broadcast_rows`` windows is joined by
+    such run holds a window. Windows with fewer than ``literals`` tokens that are no
+    placeholders are looked for word by word, so only as they are. A benchmark of more than ``broadcast_rows`` windows is joined by
     shuffle instead of broadcast."""
 
     width: int = 8
-    step: int = 4
+    step: int = 1
     run: int = 11
     literals: int = 4
     broadcast_rows: int = 1_000_000
@@ -63,23 +63,30 @@ class Decontamination:
         if self.run < self.width + self.step - 1:
             raise ValueError("run must be width + step - 1 at least")
 
-    def _windows(self, tokens: Column, step: int) -> Column:
-        last = F.size(tokens) - self.width
+    def _windows(self, both: Column, step: int) -> Column:
+        """Places and hashes of windows of tokens with their values (see :func:`aligned`)."""
+        last = F.size(both) - self.width
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(tokens, i + 1, F.lit(self.width))).alias("hash")))
+
+        def of(i: Column) -> Column:
+            part = F.slice(both, i + 1, F.lit(self.width))
+            enough = F.size(F.filter(part, lambda t: ~is_slot(t["token"]))) >= self.literals
+            words = F.transform(part, lambda t: F.coalesce(t["value"], F.lit("")))
+            return F.struct(i.alias("at"), F.when(enough, F.xxhash64(F.transform(part, lambda t: t["token"]))).otherwise(F.xxhash64(F.lit("words"), words)).alias("hash"))
+
+        return F.transform(starts, of)
 
     def index(self, benchmark: DataFrame) -> DataFrame:
         """hash, item_id, item_at of the benchmark's windows."""
-        items = benchmark.where("item_id IS NOT NULL").select("item_id", template(F.coalesce("text", F.lit(""))).alias("tokens"))
-        rows = items.select("item_id", "tokens", F.explode(self._windows(F.col("tokens"), 1)).alias("w"))
-        part = F.slice("tokens", F.col("w.at") + 1, F.lit(self.width))
-        rows = rows.where(F.size(F.filter(part, lambda t: ~is_slot(t))) >= self.literals)
+        items = benchmark.where("item_id IS NOT NULL").select("item_id", aligned(F.coalesce("text", F.lit(""))).alias("both"))
+        rows = items.select("item_id", F.explode(self._windows(F.col("both"), 1)).alias("w"))
         return rows.select(F.col("w.hash").alias("hash"), "item_id", F.col("w.at").alias("item_at")).distinct()
 
     def leaks(self, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         """doc_id, item_id, longest_run, n_equal, coverage, changed: one row for each row of ``documents`` and item it leaks.
 
-        ``changed`` says that a placeholder's value differs. Input columns doc_id, text
+        ``longest_run`` is the longest run whose placeholders agree one to one within it;
+        ``changed`` says that a placeholder's value differs in such a run. Input columns doc_id, text
         and item_id, text; others are ignored. Null or short texts leak nothing; a
         null item_id is ignored; a null doc_id keeps its rows; repeated rows have equal
         results; of rows with one item_id each text counts. Either table may be empty.
@@ -88,7 +95,7 @@ class Decontamination:
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
         index = self.index(benchmark)
         index = small(index, self.broadcast_rows)
-        windows = docs.select("body", template(F.col("text")).alias("tokens")).select("body", F.explode(self._windows(F.col("tokens"), self.step)).alias("w"))
+        windows = docs.select("body", aligned(F.col("text")).alias("both")).select("body", F.explode(self._windows(F.col("both"), self.step)).alias("w"))
         hits = windows.select("body", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(index, "hash")
         places = stored(hits.select("body", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "places")
 
@@ -100,22 +107,26 @@ class Decontamination:
             lambda t, j: F.struct(t.alias("item"), F.when((j + F.col("shift") >= 0) & (j + F.col("shift") < F.size("doc")), F.get("doc", j + F.col("shift"))).alias("doc")),
         )
         same = lambda p: F.coalesce(p["item"]["token"] == p["doc"]["token"], F.lit(False))
+        # runs of equal tokens, as places after their ends and lengths
+        none = F.array().cast("array<struct<stop:int,length:int>>")
+        ended = lambda a: F.when(a["now"] >= self.run, F.concat(a["all"], F.array(F.struct(a["at"].alias("stop"), a["now"].alias("length"))))).otherwise(a["all"])
         runs = F.aggregate(
             "pairs",
-            F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-            lambda a, p: F.struct(F.when(same(p), a["now"] + 1).otherwise(0).alias("now"), F.when(same(p), F.greatest(a["most"], a["now"] + 1)).otherwise(a["most"]).alias("most")),
-            lambda a: a["most"],
+            F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), none.alias("all")),
+            lambda a, p: F.struct((a["at"] + 1).alias("at"), F.when(same(p), a["now"] + 1).otherwise(0).alias("now"), F.when(same(p), a["all"]).otherwise(ended(a)).alias("all")),
+            ended,
         )
-        slots = F.array_distinct(
+        slots = lambda r: F.array_distinct(
             F.transform(
-                F.filter("pairs", lambda p: same(p) & is_slot(p["item"]["token"])),
+                F.filter(F.slice("pairs", r["stop"] - r["length"] + 1, r["length"]), lambda p: is_slot(p["item"]["token"])),
                 lambda p: F.struct(p["item"]["token"].alias("kind"), p["item"]["value"].alias("was"), p["doc"]["value"].alias("now")),
             )
         )
-        ends = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[side]))))
+        ends = lambda r, side: F.size(F.array_distinct(F.transform(r["slots"], lambda s: F.struct(s["kind"], s[side]))))
         found = both.select("doc_id", "body", "item_id", F.size("item").alias("n_item"), pairs.alias("pairs"))
-        found = found.select("doc_id", "body", "item_id", "n_item", runs.alias("longest_run"), F.size(F.filter("pairs", same)).alias("n_equal"), slots.alias("slots"))
-        good = found.where((F.col("longest_run") >= self.run) & (F.size("slots") == ends("was")) & (F.size("slots") == ends("now")))
+        found = found.select("doc_id", "body", "item_id", "n_item", F.size(F.filter("pairs", same)).alias("n_equal"), F.transform(runs, lambda r: F.struct(r["length"].alias("length"), slots(r).alias("slots"))).alias("runs"))
+        found = found.withColumn("runs", F.filter("runs", lambda r: (F.size(r["slots"]) == ends(r, "was")) & (F.size(r["slots"]) == ends(r, "now"))))
+        good = found.where(F.size("runs") > 0).withColumn("longest_run", F.array_max(F.transform("runs", lambda r: r["length"]))).withColumn("slots", F.flatten(F.transform("runs", lambda r: r["slots"])))
         # several alignments, or copies of a row: the best one of each row counts
         best = good.groupBy("doc_id", "body", "item_id").agg(
             F.max("longest_run").alias("longest_run"),

@@ -106,6 +106,14 @@ def test_near_dedup_matches_brute_force(spark, k, percent):
     assert job.dedup(df.limit(0)).count() == 0
 
 
+def test_near_dedup_removes_by_id_and_text(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("a")), (3, text("d")), (3, text("d"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted(((x.doc_id, x.text) for x in NearDedup().keep_one(df).collect()), key=str)
+    assert left == sorted([(1, text("a")), (2, text("b")), (None, text("c")), (3, text("d"))], key=str)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 140)] + [(139, 5), (7, 7)]
     out = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))

@@ -220,6 +220,10 @@ class NearDedup:
         are never kept. Repeated rows stay and have equal results. Of rows with one doc_id and
         different texts each is a document of its own. An empty table gives no rows.
         """
+        return self._components(documents).drop("h1", "h2")
+
+    def _components(self, documents: DataFrame) -> DataFrame:
+        """What :meth:`dedup` gives, with the hashes of the text's set of shingles."""
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
         signed = stored(docs.mapInArrow(self._signed, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, keys array<bigint>, bits array<bigint>"), "signed")
         links = stored(self.links(signed, docs.where("doc_id IS NOT NULL")), "links")
@@ -228,16 +232,40 @@ class NearDedup:
         named = classes.join(found, "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("class_component"))
         rows = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["n_shingles", "h1", "h2"], "left")
         component = F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id"))
-        return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+        return rows.select("doc_id", "n_shingles", "h1", "h2", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+    def _named(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batch without its last column, a text, and with the hashes of its set of shingles in its place."""
+        hashes = WordHashes()
+        for batch in batches:
+            digests = [np.frombuffer(xxhash.xxh3_128_digest(self.shingles(x.as_py() or b"", hashes).tobytes()), np.int64) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([int(d[k]) for d in digests], pa.int64()) for k in (0, 1))], names=["id", "body", "h1", "h2"])
 
     def keep_one(self, documents: DataFrame) -> DataFrame:
-        """The rows of ``documents`` that are kept, with their columns as they are; of equal rows of one doc_id one stays."""
+        """The rows of ``documents`` that are kept, with their columns as they are; of equal rows of one doc_id one stays.
+
+        Rows go by doc_id and text. Of rows with a null doc_id and one set of shingles (one
+        text, where it is blank) one stays if no row with an id has that set.
+        """
         body = F.xxhash64(F.coalesce("text", F.lit("")))
-        gone = stored(self.dedup(documents).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct(), "gone")
-        rows = documents.where("doc_id IS NOT NULL").withColumn("__body", body)
-        rows = rows.join(small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-        twice = rows.groupBy("doc_id", "__body").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "__body")
+        found = stored(self._components(documents), "kept")
+        gone = found.where("doc_id IS NOT NULL AND NOT kept").select("doc_id", "h1", "h2").distinct()
+        # few rows share an id with one that goes, or have none: only their texts are read again
+        ids = small(stored(gone.select(F.col("doc_id").alias("__id")).distinct(), "gone-ids"))
+        asked = documents.withColumn("__body", body)
+        asked = asked.where("doc_id IS NULL").unionByName(asked.join(ids, F.col("doc_id") == F.col("__id"), "left_semi"))
+        named = asked.select("doc_id", "__body", F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(self._named, "id bigint, body bigint, h1 bigint, h2 bigint")
+        named = stored(named.distinct(), "gone-texts")
+        out = named.join(gone.withColumnRenamed("doc_id", "id"), ["id", "h1", "h2"]).select("id", "body")
+        alone = named.where("id IS NULL").groupBy("h1", "h2").agg(F.min("body").alias("body"))
+        alone = alone.join(found.where("doc_id IS NOT NULL AND n_shingles > 0").select("h1", "h2").distinct(), ["h1", "h2"], "left_anti").select("body").withColumn("stays", F.lit(True))
+        others = named.where("id IS NULL").select("id", "body").join(alone, "body", "left").where("stays IS NULL").select("id", "body")
+        out = small(stored(out.unionByName(others).select(F.col("id").alias("__id"), F.col("body").alias("__gone")), "gone"))
+        rows = documents.withColumn("__body", body)
+        rows = rows.join(out, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__gone")), "left_anti")
+        twice = rows.groupBy("doc_id", "__body").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("__body").alias("__twice"))
         twice = small(stored(twice, "twice"))
-        once = rows.join(twice, ["doc_id", "__body"], "left_anti")
-        more = rows.join(twice, ["doc_id", "__body"], "left_semi").dropDuplicates(["doc_id", "__body"])
+        again = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("__twice"))
+        once = rows.join(twice, again, "left_anti")
+        more = rows.join(twice, again, "left_semi").dropDuplicates(["doc_id", "__body"])
         return once.unionByName(more).drop("__body")

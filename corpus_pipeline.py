@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier; those with nothing left go."""
     had = docs.withColumn("__had", F.rlike("text", F.lit(r"\S")))
-    left = LineDedup().dedup(had).withColumn("n_chars", F.length("text").cast("long"))
+    left = LineDedup(short_repeats=True).dedup(had).withColumn("n_chars", F.length("text").cast("long"))
     return left.where(~F.coalesce("__had", F.lit(False)) | F.rlike("text", F.lit(r"\S"))).select(*docs.columns)
 
 

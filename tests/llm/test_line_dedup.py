@@ -90,3 +90,9 @@ def test_flags_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert LineDedup().marks(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_repeat(spark):
+    docs = spark.createDataFrame([(1, "Menu\n\nabc"), (2, " menu\n\nabd"), (3, "abc\nown line")], "doc_id long, text string")
+    got = {x.doc_id: x.flags for x in LineDedup(short_repeats=True).marks(docs).collect()}
+    assert got == {1: "...", 2: "x..", 3: "x."}

@@ -123,22 +123,25 @@ def _walk(a: Column, b: Column, edits: int) -> Column:
 
 @dataclass(frozen=True)
 class LineDedup:
-    """``edits`` allowed between lines; lines of fewer than ``min_chars`` characters are left alone."""
+    """``edits`` allowed between lines; lines of fewer than ``min_chars`` characters are never near
+    another, and equal to one only with ``short_repeats``; blank lines are left alone."""
 
     edits: int = 2
     min_chars: int = 20
+    short_repeats: bool = False
 
     def __post_init__(self) -> None:
         if not 0 < self.edits < 16 or self.min_chars < 4 * self.edits:
             raise ValueError("edits must be 1 to 15, min_chars four times as many")
 
     def lines(self, documents: DataFrame) -> DataFrame:
-        """doc_id, body (hash of the text), pos, line (normalised), line_id; short lines get ids of their own."""
+        """doc_id, body (hash of the text), pos, line (normalised), line_id; blank lines, and short ones without ``short_repeats``, get ids of their own."""
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
         rows = docs.select("doc_id", "body", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
         rows = rows.select("doc_id", "body", "pos", F.lower(F.trim("raw", F.lit(" \t\r"))).alias("line"))
         rows = rows.withColumn("chars", F.length("line"))
-        return rows.withColumn("line_id", F.when(F.col("chars") >= self.min_chars, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "body", "pos")))
+        least = 1 if self.short_repeats else self.min_chars
+        return rows.withColumn("line_id", F.when(F.col("chars") >= least, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "body", "pos")))
 
     def probes(self) -> list[tuple[int, int, int]]:
         """(less, segment, shift): which substrings to look for among lines shorter by ``less`` characters.

@@ -7,13 +7,15 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from umbra.llm import chat_format
 from umbra.llm.components import components
 from umbra.llm.decontaminate import Decontamination
 from umbra.llm.lm_score import WindowModel, WordIds
 from umbra.llm.near_dedup import NearDedup
-from umbra.llm.quality_classifier import KneserNey, Words
+from umbra.llm.common import stored
+from umbra.llm.quality_classifier import KneserNey
 from umbra.llm.quality_rules import quality_rules, repeated_words
 
 PARTS = ["</s>", "<s>", "[INST]", "[/INST]", "\\", "\\\\", "[\\INST]", "a", "\n", "é", " ", "<", "]", "/"]
@@ -154,7 +156,7 @@ def test_decontamination_finds_runs_at_any_place_and_slot_rich_copies(spark):
     assert got == {*((i, 1) for i in range(1, 9)), (20, 2), (21, 3)}
 
 
-def kneser_ney(texts, order, open_words):
+def kneser_ney(texts, order, open_words, least=2):
     """Probabilities by plain counting: a function of (history, word)."""
     counts = [Counter() for _ in range(order + 1)]
     for t in texts:
@@ -180,7 +182,7 @@ def kneser_ney(texts, order, open_words):
         total = sum(own.values())
         if not total:
             return lower
-        d = lambda c: cut[n][min(c, 3) - 1]
+        d = lambda c: c if n > 1 and c < least else cut[n][min(c, 3) - 1]
         c = own.get((*history, word), 0)
         return (c - d(c) if c else 0) / total + sum(d(c) for c in own.values()) / total * lower
 
@@ -190,17 +192,52 @@ def kneser_ney(texts, order, open_words):
 def test_kneser_ney_matches_plain_counting(spark):
     r = random.Random(8)
     texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 25))) for _ in range(40)]
-    kn = KneserNey()
-    shards = kn.shards(kn.fit(spark.createDataFrame([(t,) for t in texts], "text string")))
-    p = kneser_ney(texts, 3, kn.open_words)
-    words = Words()
-    for t in [*texts[:10], "a b zz c", "zz", "h h h h"]:
-        w = t.split()
-        h = np.array([words[x.encode()] for x in w], np.uint64)
-        got = kn.log_probabilities(shards, h, np.array([True] + [False] * (len(w) - 1)))
-        padded = ["^", "^", *w]
-        want = [math.log(p(tuple(padded[i : i + 2]), padded[i + 2])) for i in range(len(w))]
-        assert np.allclose(got, want, atol=1e-5)
+    asked = [*texts[:10], "a b zz c", "zz", " h\th \n h h  ", "", " "]
+    df = spark.createDataFrame(list(enumerate(asked)), "k int, text string")
+    for least, rows in ((2, 10_000), (1, 1)):  # joined by broadcast, and by shuffle
+        kn = KneserNey(least=least, broadcast_rows=rows)
+        model = stored(kn.fit(spark.createDataFrame([(t,) for t in texts], "text string")), "test-model")
+        p = kneser_ney(texts, 3, kn.open_words, least)
+        got: dict = {}
+        for x in kn.word_log_probabilities(df, model, "k").collect():
+            got.setdefault(x.k, []).append((x.log_p, x.again))
+        for k, t in enumerate(asked):
+            padded = ["^", "^", *t.split()]
+            want = sorted((math.log(p(tuple(padded[i : i + 2]), padded[i + 2])), padded[i + 1] == padded[i + 2]) for i in range(len(padded) - 2))
+            assert len(want) == len(got.get(k, [])) and all(abs(a - b) < 1e-6 and x == y for (a, x), (b, y) in zip(sorted(got.get(k, [])), want, strict=True))
+        everything = sum(math.exp(math.log(p(("a", "b"), w))) for w in "abcdefgh") + p(("a", "b"), "?") * (kn.open_words - 8)
+        assert abs(everything - 1) < 1e-6
+
+
+def test_classifier_limits_and_verdicts_match_plain_ones(spark):
+    r = random.Random(12)
+    lexicon = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(lexicon) if r.random() < 0.95 else f"x{r.random()}" for _ in range(r.randint(5, 60))), "en" if i % 3 else "de") for i in range(300)]
+    rows += [(400 + i, " ".join(["word1"] * n), "en") for i, n in enumerate((1, 2, 4, 8, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int")
+    kn = KneserNey(sample_chars=20_000, quantile=0.9, slack=0.0, repeat_slack=0.0)
+    out = {x.doc_id: x for x in kn.classify(docs, labels).collect()}
+    trusted = docs.join(labels, "doc_id").select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
+    sample = {x.doc_id for x in kn.trusted_sample(trusted).collect()}
+    assert 0 < len(sample) < 150
+    p = kneser_ney([t for i, t, _ in rows if i in sample], 3, kn.open_words)
+    sums = {}
+    for i, t, lang in rows:
+        w = ["^", "^", *t.split()]
+        sums[i] = lang, len(w) - 2, sum(math.log(p(tuple(w[k : k + 2]), w[k + 2])) for k in range(len(w) - 2)), sum(w[k + 1] == w[k + 2] for k in range(len(w) - 2))
+    for lang in ("en", "de"):
+        own = {i: x[1:] for i, x in sums.items() if x[0] == lang}
+        n = sum(x[0] for x in own.values())
+        h = {i: -(x[1] + 20 * sum(y[1] for y in own.values()) / n) / (x[0] + 20) for i, x in own.items()}
+        again = {i: (x[2] + 20 * sum(y[2] for y in own.values()) / n) / (x[0] + 20) for i, x in own.items()}
+        held = [i for i in own if i < 300 and i % 2 == 0 and i not in sample]
+        at = lambda v: sorted(v[i] for i in held)[math.ceil(0.9 * len(held)) - 1]  # noqa: E731, B023
+        for i in own:
+            assert out[i].perplexity == pytest.approx(math.exp(h[i])) and out[i].limit == pytest.approx(math.exp(at(h))) and out[i].most_repeats == pytest.approx(at(again))
+            assert out[i].kept == (out[i].perplexity <= out[i].limit and out[i].repeats <= out[i].most_repeats)
+        # a text at its limit is kept
+        assert any(out[i].repeats == out[i].most_repeats for i in held) and all(out[i].kept for i in held if out[i].perplexity <= out[i].limit and out[i].repeats == out[i].most_repeats)
 
 
 def test_classifier_keeps_good_and_rejects_junk(spark):
@@ -208,13 +245,14 @@ def test_classifier_keeps_good_and_rejects_junk(spark):
     lexicon = [f"word{i}" for i in range(60)]
     good = [(i, " ".join(r.choice(lexicon) for _ in range(80)), "en") for i in range(200)]
     junk = [(500 + i, " ".join(f"J{r.random()}" for _ in range(80)), "en") for i in range(20)]
-    rows = [*good, *junk, (900, None, "en"), (901, "words of a strange tongue", "xx"), (902, " ", None), good[0]]
+    junk += [(600, good[0][1] + " word3" * 60, "en"), (601, "word5 " * 90, "en")]
+    rows = [*good, *junk, (900, None, "en"), (901, "words of a strange tongue", "xx"), (902, " ", None), (903, good[3][1] + " " + good[5][1] * 300, "en"), good[0]]
     docs = spark.createDataFrame([(*x, 1.0) for x in rows], "doc_id long, text string, lang string, perplexity double")
     labels = spark.createDataFrame([*((i, 1, 0) for i in range(0, 200, 2)), *((500 + i, 0, 0) for i in range(5)), (None, 1, None)], "doc_id long, quality int, toxic int")
     out = KneserNey().classify(docs, labels).collect()
     assert len(out) == len(rows)
     got = {x.doc_id: x.kept for x in out}
-    assert sum(got[i] for i in range(200)) >= 196 and not any(got[500 + i] for i in range(20)) and got[900] and got[901] and got[902]
+    assert sum(got[i] for i in range(200)) >= 196 and not any(got[i] for i, *_ in junk) and all(got[i] for i in (900, 901, 902, 903))
     assert KneserNey().keep_good(docs, labels).columns == docs.columns
     assert KneserNey().classify(docs.limit(0), labels).count() == 0 and KneserNey().classify(docs, labels.limit(0)).where("kept").count() == len(rows)
 

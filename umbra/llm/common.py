@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -17,14 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset."""
-    key = "spark.checkpoint.dir"
-    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="umbra-shared-")
-        spark.conf.set(key, found)
-    return found.rstrip("/")
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset a local session gets a fresh temporary folder; on a cluster that
+    is an error, as each executor would write to a disk of its own.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="umbra-shared-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId].removeprefix("file://"), ignore_errors=True)
+    return _OWN[context.applicationId]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

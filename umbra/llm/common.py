@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,28 +53,51 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = 4_000_000) -> DataFrame:
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` (short) rows, else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def states_before(items: Column, kind: str, zero: Column, step: Callable[[Column, Column], Column], merge: Callable[[Column, Column], Column], size: int = 256) -> Column:
+    """For each item of an array the state (of type ``kind``) that ``step`` makes of the items before it.
+
+    ``merge`` joins the states of neighbouring runs of items. Runs of ``size`` items are
+    walked alone and then joined, so that appending to arrays costs no more than ``size``
+    copies an item, however many there are.
+    """
+    none = F.array().cast(f"array<{kind}>")
+    put = lambda a, after: F.struct(after.alias("state"), F.concat(a["out"], F.array(a["state"])).alias("out"))
+    start = F.struct(zero.alias("state"), none.alias("out"))
+
+    def of(xs: Column) -> Column:
+        runs = F.transform(
+            F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / size).cast("int") - 1, F.lit(0))),
+            lambda c: F.aggregate(F.slice(xs, c * size + 1, F.lit(size)), start, lambda a, x: put(a, step(a["state"], x))),
+        )
+        shift = lambda rs: F.zip_with(rs, F.aggregate(rs, start, lambda a, r: put(a, merge(a["state"], r["state"])))["out"], lambda r, o: F.transform(r["out"], lambda b: merge(o, b)))
+        return F.flatten(let(runs, shift))
+
+    return let(items, of)
+
+
 def match_spans(text: Column, pattern: Column | str) -> Column:
     """All leftmost non-overlapping matches as array<struct<start,stop,hit>>, in code points, end exclusive.
 
     The pattern is split away once for the gaps and extracted once for the hits;
-    positions are the running sums of both. The pattern must not match the empty string.
+    positions are the running sums of both, in time in proportion to the matches. The
+    pattern must not match the empty string.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    hits = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.slice(F.split(text, p, -1), F.lit(1), F.size(hits))
-    steps = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).cast("long").alias("gap"), F.length(h).cast("long").alias("len"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint,hit:string>>")
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda a, s: F.struct(
-            (a["at"] + s["gap"] + s["len"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), (a["at"] + s["gap"] + s["len"]).alias("stop"), s["hit"].alias("hit")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    length = lambda t: F.length(t).cast("long")
+    both = F.zip_with(F.split(text, p, -1), F.regexp_extract_all(text, p, F.lit(0)), lambda g, h: F.struct(length(g).alias("gap"), length(h).alias("len"), h.alias("hit")))
+
+    def of(steps: Column) -> Column:
+        before = states_before(steps, "bigint", F.lit(0).cast("long"), lambda at, x: at + x["gap"] + x["len"], lambda a, b: a + b)
+        return F.zip_with(steps, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["len"]).alias("stop"), x["hit"].alias("hit")))
+
+    return let(F.filter(both, lambda x: x["hit"].isNotNull()), of)

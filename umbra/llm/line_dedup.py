@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join, with Spark expressions only.
 
 Of lines within ``edits`` edits of each other one is equal to the other in at least
-one of ``edits + 1`` segments. Each line enters its segments in an index keyed by
+one of ``edits + 1`` segments. Each different line enters its segments in an index keyed by
 length, segment number and content, and probes, for every length that is no larger
 than its own by more than ``edits``, those of its substrings that can be such a
 segment. What meets is verified with a bit-parallel edit distance on a band.
@@ -17,34 +17,37 @@ from pyspark.sql import functions as F
 from umbra.llm.common import small, stored
 
 
-#: Characters whose counts are compared before a distance is worked out; any choice is right.
-COUNTED = "etaoinrslu d"
+#: Characters whose counts, modulo 8, are packed into two numbers of a line; any choice is right.
+PACKED = ("etaoinshrdlcumfpgwybv", "kxjqz .,0123456789éñä")
+_LOW = sum(1 << 3 * k for k in range(21))
 
 
-def bag(line: Column) -> Column:
-    """How often each of a few characters stands in a line."""
-    return F.array(*(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for c in COUNTED))
+def packed(line: Column, characters: str) -> Column:
+    """How often each of the characters stands in a line, three bits each."""
+    some = F.array(*map(F.lit, reversed(characters)))
+    count = lambda c: (F.length(line) - F.length(F.replace(line, c, F.lit("")))).cast("long").bitwiseAND(F.lit(7))
+    return F.aggregate(some, F.lit(0).cast("long"), lambda s, c: s * 8 + count(c))
 
 
-def bags_allow(a: Column, b: Column, edits: int) -> Column:
-    """An edit changes two counts by one at most."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda s, d: s + d) <= 2 * edits
+def apart(a: Column, b: Column) -> Column:
+    """The sum of the differences of packed counts; those that wrapped are nearer than they are, never farther.
 
-
-#: Characters whose counts, modulo 64, are packed into a number that goes along with a key.
-PACKED = "etaoinrslu"
-
-
-def packed(line: Column) -> Column:
-    counts = ((F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(63)) for c in PACKED)
-    return sum((F.shiftleft(n, 6 * k) for k, n in enumerate(counts)), F.lit(0).cast("long"))
+    All counts are subtracted at once: the borrow of a count is kept from the next one
+    by its highest bit, which is put right afterwards.
+    """
+    low, high = F.lit(_LOW), F.lit(4 * _LOW)
+    rest = F.lit(3 * _LOW)
+    less = (a.bitwiseOR(high) - b.bitwiseAND(rest)).bitwiseXOR(a.bitwiseXOR(b).bitwiseXOR(high).bitwiseAND(high))
+    # 5, 6 and 7 are 3, 2 and 1 the other way round
+    minus = F.shiftright(less, 2).bitwiseAND(low)
+    least = less.bitwiseXOR(minus * 7) + minus
+    ones = lambda at: F.bit_count(F.shiftright(least, at).bitwiseAND(low))
+    return ones(0) + 2 * ones(1) + 4 * ones(2)
 
 
-def packed_allow(a: Column, b: Column, edits: int) -> Column:
-    """Like :func:`bags_allow`; counts that wrapped are nearer than they are, never farther."""
-    part = lambda x, k: F.shiftright(x, 6 * k).bitwiseAND(F.lit(63))
-    apart = (F.abs(part(a, k) - part(b, k)) for k in range(len(PACKED)))
-    return sum((F.least(d, F.lit(64) - d) for d in apart), F.lit(0)) <= 2 * edits
+def packed_allow(a: tuple[Column, ...], b: tuple[Column, ...], edits: int) -> Column:
+    """Whether packed counts are near enough; an edit changes two counts by one at most."""
+    return sum((apart(x, y) for x, y in zip(a, b, strict=True)), F.lit(0)) <= 2 * edits
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -135,13 +138,15 @@ class LineDedup:
             raise ValueError("edits must be 1 to 15, min_chars four times as many")
 
     def lines(self, documents: DataFrame) -> DataFrame:
-        """doc_id, body (hash of the text), pos, line (normalised), line_id; blank lines, and short ones without ``short_repeats``, get ids of their own."""
+        """doc_id, body (hash of the text), pos, line (normalised), chars, line_id, check: two hashes of a line that may go.
+
+        Blank lines, and short ones without ``short_repeats``, are left out.
+        """
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
         rows = docs.select("doc_id", "body", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
         rows = rows.select("doc_id", "body", "pos", F.lower(F.trim("raw", F.lit(" \t\r"))).alias("line"))
-        rows = rows.withColumn("chars", F.length("line"))
-        least = 1 if self.short_repeats else self.min_chars
-        return rows.withColumn("line_id", F.when(F.col("chars") >= least, F.xxhash64("line")).otherwise(F.xxhash64("doc_id", "body", "pos")))
+        rows = rows.withColumn("chars", F.length("line")).where(F.col("chars") >= (1 if self.short_repeats else self.min_chars))
+        return rows.withColumns({"line_id": F.xxhash64("line"), "check": F.xxhash64(F.lit(5), "line")})
 
     def probes(self) -> list[tuple[int, int, int]]:
         """(less, segment, shift): which substrings to look for among lines shorter by ``less`` characters.
@@ -156,82 +161,107 @@ class LineDedup:
                 out += [(less, k, shift) for shift in range(low, high + 1)]
         return out
 
-    def keyed(self, lines: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
-        """(key, less, line_id, counts) of each line for each (less, segment, shift) in ``wanted``.
+    def keyed(self, texts: DataFrame, wanted: list[tuple[int, int, int]]) -> DataFrame:
+        """key, longer, line_id of each line of ``texts`` (line_id, line, chars) for each (less, segment, shift) in ``wanted``.
 
-        The key is a hash of the length, segment number and content. The parameters are
-        exploded first, so that one short expression serves all of them.
+        The key is a hash of the length, segment number and content; ``longer`` says that
+        it is for lines shorter than the line itself.
         """
         n = self.edits + 1
-        one = [F.struct(*(F.lit(v).alias(name) for name, v in zip(("less", "k", "shift"), w, strict=True))) for w in wanted]
-        # counted in a projection of its own, or it would be done for each exploded row
-        rows = lines.select("line_id", "line", "chars", packed(F.col("line")).alias("counts")).select("line_id", "line", "chars", "counts", F.explode(F.array(*one)).alias("w")).select("line_id", "line", "counts", "w.*", (F.col("chars") - F.col("w.less")).alias("length"))
-        size, extra = F.expr(f"int(length div {n})"), F.expr(f"int(length % {n})")
-        # the last segments take the remainder
-        longer = F.greatest(F.lit(0), F.col("k") - n + extra)
-        start = F.col("k") * size + longer + F.col("shift")
-        own = size + F.when(F.col("k") >= n - extra, 1).otherwise(0)
-        return rows.select(F.xxhash64("length", "k", F.substring(F.col("line"), start + 1, own)).alias("key"), "less", "line_id", "counts")
-
-    def near_links(self, documents: DataFrame, spots: DataFrame) -> DataFrame:
-        """(a, b): ids of different lines within ``edits`` edits."""
-        long_enough = self.lines(documents).where(F.col("chars") >= self.min_chars)
-        index = self.keyed(long_enough, [(0, k, 0) for k in range(self.edits + 1)]).select("key", F.col("line_id").alias("a"), F.col("counts").alias("na"))
-        probes = self.keyed(long_enough, self.probes()).select("key", "less", F.col("line_id").alias("b"), F.col("counts").alias("nb"))
-        index = index.repartition("key").dropDuplicates(["key", "a"])
-        probes = probes.repartition("key").dropDuplicates(["key", "less", "b"])
-        meets = (index["key"] == probes["key"]) & (F.col("a") != F.col("b")) & ((F.col("less") > 0) | (F.col("a") < F.col("b"))) & packed_allow(F.col("na"), F.col("nb"), self.edits)
-        pairs = stored(index.hint("shuffle_hash").join(probes, meets).select("a", "b").distinct(), "line-pairs")
-        ids = stored(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct(), "line-ids")
-        # one text for each line is enough: the texts of the smallest hash among those that hold it
-        holders = small(stored(spots.join(small(ids), "line_id").groupBy("line_id").agg(F.min("body").alias("body")).select(F.col("body").alias("__body")).distinct(), "line-holders"))
-        held = documents.join(holders, F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__body"), "left_semi")
-        texts = self.lines(held).join(small(ids), "line_id", "left_semi").groupBy("line_id").agg(F.first("line").alias("line"))
-        texts = stored(texts.withColumn("bag", bag(F.col("line"))), "line-texts")
-        side = lambda n: texts.select(F.col("line_id").alias(n), F.col("line").alias(f"l{n}"), F.col("bag").alias(f"bag_{n}"))
+        each = F.array(*(F.struct(*(F.lit(v).alias(name) for name, v in zip(("less", "k", "shift"), w, strict=True))) for w in wanted))
+
+        def of(p: Column) -> Column:
+            length = F.col("chars") - p["less"]
+            size, extra = F.call_function("div", length, F.lit(n)).cast("int"), length % n
+            # the last segments take the remainder
+            start = p["k"] * size + F.greatest(F.lit(0), extra - (n - p["k"])) + p["shift"] + 1
+            own = size + F.when(extra >= n - p["k"], 1).otherwise(0)
+            return F.struct(F.xxhash64(length, p["k"], F.substring(F.col("line"), start, own)).alias("key"), (p["less"] > 0).alias("longer"))
+
+        return texts.select(F.inline(F.transform(each, of)), "line_id")
+
+    def near_links(self, texts: DataFrame) -> DataFrame:
+        """(a, b), each struct<line_id, check>: different lines of ``texts`` (line_id, check, line, chars) within ``edits`` edits.
+
+        Keys that lines meet in are found first, on keys alone; the few lines that meet get
+        packed counts, which are compared inside the join of those keys.
+        """
+        own = [(0, k, 0) for k in range(self.edits + 1)]
+        index = self.keyed(texts, own).select("key", "line_id").repartition("key")
+        probes = self.keyed(texts, [w for w in self.probes() if w not in own])
+        met = stored(probes.join(index.select("key").hint("shuffle_hash"), "key", "left_semi"), "line-probes")
+        # a line's own segments are its probes for lines of its own length that share them in place
+        level = index.groupBy("key").agg(F.min("line_id").alias("low"), F.max("line_id").alias("high")).where("low < high").select("key")
+        keys = small(stored(level.union(met.select("key")).distinct(), "line-keys"))
+        shared = stored(index.join(keys, "key", "left_semi"), "line-index")
+        ids = small(shared.select("line_id").union(met.select("line_id")).distinct())
+        counts = [packed(F.col("line"), c).alias(f"c{k}") for k, c in enumerate(PACKED)]
+        asked = stored(texts.join(ids, "line_id", "left_semi").select("line_id", "check", "line", *counts), "line-texts")
+        named = lambda rows, n: rows.join(asked.select("line_id", *(F.col(f"c{k}").alias(f"{n}{k}") for k in range(len(PACKED)))), "line_id").withColumnRenamed("line_id", n)
+        x, same, longer = named(shared, "a"), named(shared, "b").withColumn("longer", F.lit(False)), named(met, "b")
+        near = packed_allow(*(tuple(F.col(f"{n}{k}") for k in range(len(PACKED))) for n in "ab"), self.edits)
+        meets = lambda y: (x["key"] == y["key"]) & ((y["longer"] & (F.col("a") != F.col("b"))) | (F.col("a") < F.col("b"))) & near
+        pairs = (x.hint("shuffle_hash").join(y, meets(y)).select("a", "b") for y in (same, longer))
+        pairs = stored(next(pairs).union(next(pairs)).distinct(), "line-pairs")
+        side = lambda n: asked.select(F.col("line_id").alias(n), F.struct("line_id", "check").alias(f"id_{n}"), F.col("line").alias(f"l{n}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        close = F.when(bags_allow(F.col("bag_a"), F.col("bag_b"), self.edits), line_distance(F.col("la"), F.col("lb"), self.edits) <= self.edits).otherwise(F.lit(False))
-        return both.where(close).select("a", "b")
+        return both.where(line_distance(F.col("la"), F.col("lb"), self.edits) <= self.edits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
     def flags(self, documents: DataFrame) -> DataFrame:
-        """doc_id, body, flags: for each text the fate of each of its lines, '.', 'x' (equal) or 'n' (near).
+        """doc_id, body, flags: for each text with lines that go the fate of its lines, '.', 'x' (equal) or 'n' (near), up to the last that goes.
 
         A line goes if an equal line, or one within ``edits`` edits, stands earlier; the
         order is by doc_id (null first) and place. Lines are equal if they are so in lower
-        case without blanks around them. Copies of a row keep or lose the same lines.
+        case without blanks around them; a line is known by 128 bits of hashes. Copies of a
+        row keep or lose the same lines. Texts that keep all their lines have no row.
         """
-        spots = stored(self.lines(documents).select("doc_id", "body", "pos", "line_id"), "line-spots")
-        first = spots.groupBy("line_id").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
-        links = stored(self.near_links(documents, spots), "line-links")
-        ends = first.join(links.select(F.col("a").alias("line_id")).union(links.select("b")).distinct(), "line_id", "left_semi").select("line_id", "first")
-        x, y = ends.select(F.col("line_id").alias("a"), F.col("first").alias("fa")), ends.select(F.col("line_id").alias("b"), F.col("first").alias("fb"))
-        later = links.join(x, "a").join(y, "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("line_id")).distinct().withColumn("near", F.lit(True))
-        marked = first.where("first < last").join(later, "line_id", "full").select("line_id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-        fate = F.when(F.col("first").isNotNull() & ~F.struct("doc_id", "pos").eqNullSafe(F.col("first")), "x").when(F.col("near"), "n").otherwise(".")
-        fates = spots.join(marked, "line_id", "left").select("doc_id", "body", "pos", fate.alias("fate"))
-        ordered = fates.distinct().groupBy("doc_id", "body").agg(F.array_sort(F.collect_list(F.struct("pos", "fate"))).alias("all"))
-        return ordered.select("doc_id", "body", F.array_join(F.transform("all", lambda s: s["fate"]), "").alias("flags"))
+        lines = self.lines(documents)
+        at = F.struct("doc_id", "pos")
+        each = lines.groupBy("line_id", "check").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.first(F.when(F.col("chars") >= self.min_chars, F.col("line"))).alias("line"))
+        each = stored(each.withColumn("chars", F.length("line")), "lines")
+        links = stored(self.near_links(each.where("line IS NOT NULL").select("line_id", "check", "line", "chars")), "line-links")
+        linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().select("id.line_id", "id.check")
+        ends = each.join(small(linked), ["line_id", "check"], "left_semi").select(F.struct("line_id", "check").alias("id"), "first")
+        x, y = ends.select(F.col("id").alias("a"), F.col("first").alias("fa")), ends.select(F.col("id").alias("b"), F.col("first").alias("fb"))
+        later = links.join(x, "a").join(y, "b").select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+        later = later.select("id.line_id", "id.check", F.lit(True).alias("near"))
+        marked = each.where("first < last").select("line_id", "check", "first").join(later, ["line_id", "check"], "full")
+        marked = small(stored(marked.select("line_id", "check", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-marks"), 1_000_000)
+        fate = F.when(F.col("first").isNotNull() & ~at.eqNullSafe(F.col("first")), "x").when(F.col("near"), "n")
+        hits = lines.select("doc_id", "body", "pos", "line_id", "check").join(marked, ["line_id", "check"]).select("doc_id", "body", "pos", fate.alias("fate")).where("fate IS NOT NULL")
+        # copies of a row hit the same places
+        sparse = hits.distinct().groupBy("doc_id", "body").agg(F.array_sort(F.collect_list(F.struct("pos", "fate"))).alias("hits"))
+        gaps = F.transform("hits", lambda h, i: F.concat(F.repeat(F.lit("."), h["pos"] - F.when(i > 0, F.get("hits", i - 1)["pos"] + 1).otherwise(0)), h["fate"]))
+        return sparse.select("doc_id", "body", F.array_join(gaps, "").alias("flags"))
+
+    def _joined(self, documents: DataFrame) -> DataFrame:
+        """The rows of ``documents`` with __flags, null for texts that keep all their lines."""
+        flags = self.flags(documents).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("flags").alias("__flags"))
+        flags = small(stored(flags, "line-flags"), 200_000)
+        rows = documents.withColumn("__own", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+        return rows.join(flags, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left")
 
     def marks(self, documents: DataFrame) -> DataFrame:
         """One row per row of ``documents``: doc_id, n_lines, n_equal, n_near, flags.
 
         Input columns doc_id and text; others are ignored. A null text counts as empty, one empty
-        line; an empty table gives no rows.
+        line; repeated rows have equal results; lines of any length are compared whole;
+        an empty table gives no rows.
         """
-        flags = self.flags(documents).withColumnRenamed("doc_id", "__id")
-        docs = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__body"))
-        rows = docs.join(flags, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__body") == F.col("body")), "left")
+        rows = self._joined(documents.select("doc_id", "text"))
+        n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+        rows = rows.withColumn("n_lines", F.coalesce(n_lines, F.lit(1)).cast("long"))
+        rows = rows.select("doc_id", "n_lines", F.rpad(F.coalesce("__flags", F.lit("")), F.col("n_lines").cast("int"), F.lit(".")).alias("flags"))
         count = lambda c: (F.length("flags") - F.length(F.replace("flags", F.lit(c), F.lit("")))).cast("long")
-        return rows.select("doc_id", F.length("flags").cast("long").alias("n_lines"), count("x").alias("n_equal"), count("n").alias("n_near"), "flags")
+        return rows.select("doc_id", "n_lines", count("x").alias("n_equal"), count("n").alias("n_near"), "flags")
 
     def dedup(self, documents: DataFrame) -> DataFrame:
         """The rows of ``documents`` with the repeated lines taken out of text; other columns stay as they are.
 
-        A document whose lines all go keeps its row with an empty text; a null text stays null.
+        A document whose lines all go keeps its row with an empty text; a null text stays
+        null; of repeated rows each loses the same lines; an empty table gives no rows.
         """
-        flags = self.flags(documents).where(F.rlike("flags", F.lit("[xn]"))).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), F.col("flags").alias("__flags"))
-        own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-        rows = documents.withColumn("__own", own)
-        rows = rows.join(flags, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__body")), "left").withColumn("__keep", F.split("__flags", ""))
-        kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.get("__keep", i) == "."), "\n")
+        rows = self._joined(documents).withColumn("__keep", F.split("__flags", ""))
+        # lines beyond the last one that goes have no flag
+        kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: F.coalesce(F.get("__keep", i), F.lit(".")) == "."), "\n")
         return rows.withColumn("text", F.when(F.col("__flags").isNull(), F.col("text")).otherwise(kept)).select(*documents.columns)

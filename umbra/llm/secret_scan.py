@@ -7,12 +7,14 @@ by blob and joined back to all paths and versions with that content.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import match_spans
+from umbra.llm.common import match_spans, shared_dir
 
 
 @dataclass(frozen=True)
@@ -77,19 +79,24 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rule_versi
     through has no row and is not moved at all.
     """
     text = F.coalesce(F.col(column), F.lit(""))
-    found = versions.select(text.alias("text")).where(gate(F.col("text"), rules))
-    blobs = addressed(found).groupBy("blob").agg(F.first("text").alias("text"))
+    found = addressed(versions.select(text.alias("text")).where(gate(F.col("text"), rules)))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+        found = found.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    blobs = found.groupBy("blob").agg(F.first("text").alias("text"))
     # no filter on the spans: it would be pushed below and find them twice
     return blobs.select("blob", F.lit(rule_version).alias("rule_version"), find_secrets(F.col("text"), rules).alias("spans"))
 
 
-def join_back(versions: DataFrame, findings: DataFrame, column: str = "text") -> DataFrame:
-    """Every row of ``versions`` without its text, with blob and spans (empty where there are none)."""
-    new = ("blob", "spans")
-    rows = addressed(versions.drop(*new), column).drop(column)
-    return rows.join(findings.select("blob", "spans"), "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+def join_back(versions: DataFrame, findings: DataFrame, column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every row of ``versions`` without its text, with blob and spans (empty where there are none).
+
+    Rows that no gate lets through have no findings and are not moved.
+    """
+    rows = addressed(versions.drop("blob", "spans"), column).withColumn("__may", gate(F.coalesce(F.col(column), F.lit("")), rules)).drop(column)
+    none = F.array().cast(_SPANS)
+    clear = rows.where("NOT __may").withColumn("spans", none)
+    found = rows.where("__may").join(findings.select("blob", "spans"), "blob", "left").select(*clear.columns[:-1], F.coalesce("spans", none).alias("spans"))
+    return clear.unionByName(found).drop("__may")
 
 
 class BlobLedger:
@@ -104,26 +111,33 @@ class BlobLedger:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        jvm = self.spark._jvm
-        hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        there = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def entries(self) -> DataFrame:
+        """(blob, rule_version) of all that was scanned."""
         return self._read("ledger", "blob string, rule_version string").distinct()
 
     def findings(self, rule_version: str = RULE_VERSION) -> DataFrame:
+        """blob, rule_version, spans of the blobs that a gate let through."""
         rows = self._read("findings", f"blob string, rule_version string, spans {_SPANS}")
         return rows.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
 
     def advance(self, versions: DataFrame, rule_version: str = RULE_VERSION, column: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Scan what is unseen in ``versions`` and give all its rows with their findings."""
+        """Scan what is unseen in ``versions`` and give all its rows, without their texts, with blob and spans.
+
+        A null text counts as empty; repeated rows stay; a text of any length is scanned
+        whole, in time in proportion to its length and matches; no rows give none.
+        """
         seen = self.entries().where(F.col("rule_version") == rule_version)
         scan_unseen(versions, seen, rule_version, column, rules).write.mode("append").parquet(f"{self.root}/findings")
-        fresh = addressed(versions, column).select("blob").distinct().join(seen.select("blob"), "blob", "left_anti")
+        fresh = addressed(versions.select(column), column).select("blob").distinct().join(seen.select("blob"), "blob", "left_anti")
         fresh.select("blob", F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{self.root}/ledger")
-        return join_back(versions, self.findings(rule_version), column)
+        return join_back(versions, self.findings(rule_version), column, rules)
 
 
 def span_text(spans: Column) -> Column:
@@ -138,11 +152,13 @@ def secret_digest(joined: DataFrame) -> DataFrame:
     return joined.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
-def scan_documents(documents: DataFrame) -> DataFrame:
-    """One row per row of ``documents`` (doc_id, text; others ignored) with blob and spans.
+def scan_documents(documents: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
+    """One row per row of ``documents`` (doc_id, text; others ignored) with blob and spans, through a ledger.
 
-    A null text counts as empty and has no spans; a null doc_id keeps its row;
-    repeated rows stay; an empty table gives no rows.
+    Without ``ledger`` a fresh one in the shared folder is advanced, so all is unseen. A
+    null text counts as empty and has no spans; a null doc_id keeps its row; repeated
+    rows stay; an empty table gives no rows.
     """
-    rows = documents.select("doc_id", "text")
-    return join_back(rows, scan_unseen(rows))
+    if ledger is None:
+        ledger = BlobLedger(documents.sparkSession, f"{shared_dir(documents.sparkSession)}/umbra-ledger-{uuid.uuid4().hex}")
+    return ledger.advance(documents.select("doc_id", "text"))

@@ -40,7 +40,38 @@ def test_chunks_give_the_same_ids(both):
     r = random.Random(2)
     for x in texts()[::3]:
         n = r.randint(1, 9)
-        assert list(encode_chunks(v, [x[i : i + n] for i in range(0, len(x), n)])) == t.encode(x, add_special_tokens=False).ids
+        ids = [i for some in encode_chunks(v, [x[i : i + n] for i in range(0, len(x), n)]) for i in some]
+        assert ids == t.encode(x, add_special_tokens=False).ids
+
+
+def test_long_pieces_in_chunks(both, monkeypatch):
+    v, t = both
+    monkeypatch.setattr("umbra.llm.bpe.LONG", 20)
+    r = random.Random(3)
+    runs = ["thequick" * 9, "7" * 50, "!?'" * 20, " " * 45, "\n" * 30, " \n\t" * 15, "é中" * 30, "'s", "'re", " ", "a", "'", "<|endoftext|>", "x", "½", "\u3000" * 40]
+    for _ in range(400):
+        x = "".join(r.choice(runs) for _ in range(r.randint(1, 8)))
+        n = r.choice([1, 2, 3, 7, 25, 60])
+        ids = [i for some in encode_chunks(v, [x[i : i + n] for i in range(0, len(x), n)]) for i in some]
+        assert ids == t.encode(x, add_special_tokens=False).ids, (x, n)
+
+
+def test_memory_does_not_grow_with_a_piece(both):
+    v, t = both
+    cache, most = PieceCache(v, limit=100), 0
+    r = random.Random(4)
+    words = ["the", "quick", "brown", "fox", "aaaa", "zq"]
+    part = "".join(r.choice(words) for _ in range(40_000))
+
+    def chunks():
+        for at in range(0, len(part), 1000):
+            yield part[at : at + 1000]
+
+    ids = []
+    for some in encode_chunks(v, chunks(), cache):
+        most = max(most, len(some))
+        ids += some
+    assert ids == t.encode(part, add_special_tokens=False).ids and most < 2000
 
 
 def test_decoder_takes_ids_one_by_one(both):

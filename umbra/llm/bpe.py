@@ -4,8 +4,9 @@ The transducer keeps, for each recent byte position, the last token of the
 encoding of the bytes so far. That token is unique: the longest known suffix whose
 pair with the token before it stays unmerged when both are encoded together. A
 token is emitted as soon as every position from which a later token can start
-agrees on it, so the memory depends on the merge list alone: at most its
-sufficient lookahead (:meth:`Vocabulary.lookahead`), in practice a few tokens.
+agrees on it, or at the latest when the merge list's sufficient lookahead
+(:meth:`Vocabulary.lookahead`) has passed, so the memory depends on the merge list
+alone. Texts go through in chunks, and a long piece as it comes.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from pyspark.sql import DataFrame
 
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary's format.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The four kinds of characters that pieces run on in.
+RUNS = tuple(map(regex.compile, (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+")))
+#: Characters of a text that are taken at once, and of a piece that is fed as it comes.
+CHUNK, LONG = 1 << 16, 1 << 10
 
 
 def _byte_chars() -> dict[str, int]:
@@ -64,6 +69,7 @@ class Vocabulary:
             self.endings.add_word(b.decode("latin-1"), (i, len(b) - 1))
         self.lengths = [len(b) for b in self.bytes]
         self.endings.make_automaton()
+        self.reach = self.lookahead()
         self.splits = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def lookahead(self) -> int:
@@ -157,6 +163,9 @@ class Encoder:
         for at in range(max(1, end - self.v.longest + 1), end):
             shared.intersection_update(self._path(at))
         cut = max(shared)
+        if end - cut > self.v.reach:
+            # no text changes what lies further back than the lookahead
+            cut = max(c for c in self._path(end) if c <= end - self.v.reach)
         if not cut:
             return []
         return self._take(cut)
@@ -182,7 +191,7 @@ class PieceCache(dict):
     The transducer's state after a piece's first bytes is kept too, for pieces that begin alike.
     """
 
-    def __init__(self, vocabulary: Vocabulary, limit: int = 400_000, head: int = 6):
+    def __init__(self, vocabulary: Vocabulary, limit: int = 150_000, head: int = 6):
         super().__init__()
         self.v, self.limit, self.old = vocabulary, limit, {}
         self.encoder, self.head, self.heads = Encoder(vocabulary), head, {}
@@ -227,16 +236,20 @@ def encode(vocabulary: Vocabulary, cache: PieceCache, text: str) -> list[int]:
     return out
 
 
-def encode_chunks(vocabulary: Vocabulary, chunks: Iterable[str]) -> Iterator[int]:
-    """Encode a text that comes in chunks, keeping an unfinished piece and special string only.
+def encode_chunks(vocabulary: Vocabulary, chunks: Iterable[str], cache: PieceCache | None = None) -> Iterator[list[int]]:
+    """Encode a text that comes in chunks: lists of ids, as soon as they are stable.
 
-    A piece is finished when text follows it that cannot belong to it; long pieces
-    go to the transducer as they come, so memory does not depend on their length.
+    Kept are a chunk, the beginning of a single-token string, and the end of the text
+    that may still become other pieces: its last two pieces, which are short or, once
+    one is longer than ``LONG``, a run of one kind of characters that goes to the
+    transducer as it comes. So memory depends on the chunks' size, not on the text's.
     """
-    encoder, pending = Encoder(vocabulary), ""
+    cache = PieceCache(vocabulary) if cache is None else cache
+    encoder = Encoder(vocabulary)
     longest = max(map(len, vocabulary.special), default=0)
+    pending, carry, run = "", "", None
 
-    def parts(text: str, last: bool) -> Iterator[tuple[str, int | None]]:
+    def split(text: str, last: bool) -> Iterator[tuple[str, int | None]]:
         """Split at single-token strings; the end that may still become one is held back."""
         nonlocal pending
         at = 0
@@ -249,20 +262,49 @@ def encode_chunks(vocabulary: Vocabulary, chunks: Iterable[str]) -> Iterator[int
         pending = text[len(text) - held :] if held else ""
         yield text[at : len(text) - held], None
 
-    carry = ""
+    def cut(text: str, ends: bool) -> list[int]:
+        """Ids of what is settled of ``carry`` and ``text``; ``carry`` and ``run`` keep the rest."""
+        nonlocal carry, run
+        out: list[int] = []
+        text, carry = carry + text, ""
+        if run:
+            m = run.match(text)
+            stop = m.end() if m else 0
+            if stop == len(text) and not ends:
+                # the last blank before a word belongs to the word
+                carry = text[-1:]
+                return encoder.feed(text[:-1].encode())
+            stop -= run is RUNS[2] and stop < len(text)
+            out += encoder.feed(text[:stop].encode())
+            out += encoder.finish()
+            text, run = text[stop:], None
+        found = PIECES.findall(text)
+        rest = [] if ends else found[-2:]
+        out.extend(chain.from_iterable(map(cache.__getitem__, found[: len(found) - len(rest)])))
+        if rest and len(rest[-1]) > LONG:
+            # so long a run has settled what stands before it
+            out.extend(chain.from_iterable(map(cache.__getitem__, rest[:-1])))
+            run = next(r for r in RUNS if r.match(rest[-1][-1]))
+            out += encoder.feed(rest[-1][:-1].encode())
+            carry = rest[-1][-1]
+        else:
+            carry = "".join(rest)
+        return out
+
     for chunk in chain(chunks, [None]):
-        for text, special in list(parts(pending + (chunk or ""), chunk is None)):
-            carry += text
-            ends = special is not None or chunk is None
-            found = list(PIECES.finditer(carry))
-            # the last two matches may change with what follows: blanks before a word, and contractions
-            done = len(found) if ends else max(0, len(found) - 2)
-            for m in found[:done]:
-                yield from encoder.feed(m[0].encode())
-                yield from encoder.finish()
-            carry = carry[found[done - 1].end() :] if done else carry
+        for text, special in list(split(pending + (chunk or ""), chunk is None)):
+            if ids := cut(text, special is not None or chunk is None):
+                yield ids
             if special is not None:
-                yield special
+                yield [special]
+
+
+def encode_text(vocabulary: Vocabulary, cache: PieceCache, text: str) -> Iterator[list[int]]:
+    """Lists of ids of a text, chunk by chunk where it is long."""
+    if len(text) <= CHUNK:
+        yield encode(vocabulary, cache, text)
+    else:
+        yield from encode_chunks(vocabulary, (text[at : at + CHUNK] for at in range(0, len(text), CHUNK)), cache)
 
 
 class Decoder:
@@ -292,7 +334,8 @@ def encode_documents(documents: DataFrame, vocabulary: str, column: str = "text"
     every executor can read. A null text counts as empty: no tokens and the digests of
     the empty string. Other columns pass through unless they clash with the new ones,
     which replace them. Repeated rows stay; an empty table gives no rows. The plan is
-    one scan without a shuffle; a text is in memory only while its row is.
+    one scan without a shuffle; of a long text only a chunk's tokens are held at once,
+    unless ``with_ids`` asks for them.
     """
     new = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * with_ids
     kinds = dict(zip(["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"], ["bigint", "string", "string", "array<int>", "string"], strict=True))
@@ -305,15 +348,25 @@ def encode_documents(documents: DataFrame, vocabulary: str, column: str = "text"
         for batch in batches:
             out: dict[str, list] = {c: [] for c in new}
             for x in batch.column(batch.schema.get_field_index(column)):
-                ids = encode(v, cache, x.as_py() or "")
-                machine = Decoder(v)
-                decoded = machine.feed(ids) + machine.finish()
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(sha256(decoded.encode()).hexdigest())
+                machine, total, of_ids, of_text = Decoder(v), 0, sha256(), sha256()
+                every: list[int] = []
+                said: list[str] = []
+                for ids in encode_text(v, cache, x.as_py() or ""):
+                    of_ids.update((("," if total else "") + ",".join(map(names.__getitem__, ids))).encode() if ids else b"")
+                    total += len(ids)
+                    text = machine.feed(ids)
+                    of_text.update(text.encode())
+                    if with_ids:
+                        every += ids
+                        said.append(text)
+                text = machine.finish()
+                of_text.update(text.encode())
+                out["n_tokens"].append(total)
+                out["ids_sha256"].append(of_ids.hexdigest())
+                out["decoded_sha256"].append(of_text.hexdigest())
                 if with_ids:
-                    out["ids"].append(ids)
-                    out["decoded"].append(decoded)
+                    out["ids"].append(every)
+                    out["decoded"].append("".join(said) + text)
             held = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*held, *(pa.array(out[c], arrow[kinds[c]]) for c in new)], names=[*keep, *new])
 

@@ -7,11 +7,12 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from umbra.llm import chat_format
 from umbra.llm.components import components
-from umbra.llm.decontaminate import Decontamination
+from umbra.llm.decontaminate import STARTERS, UNITS, Decontamination
 from umbra.llm.lm_score import WindowModel, WordIds
 from umbra.llm.near_dedup import NearDedup
 from umbra.llm.common import stored
@@ -65,6 +66,17 @@ def test_quality_rules_take_common_lines(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_quality_rules_reject_depleted_documents_of_any_host(spark):
+    common = " ".join(f"c{k}" for k in range(30))
+    # a host of many texts, where 2 % of them would be more than the limit, and copies of one text
+    rows = [(i, f"own words of number {i} " + " ".join(f"z{i}x{k}" for k in range(20)), "hot") for i in range(1200)]
+    rows += [(2000 + i, f"{common}\nleft {i}", "hot") for i in range(25)] + [(3000 + i, "\n".join(["a line " + " ".join(f"q{k}" for k in range(25))] * 1), "hot") for i in range(40)]
+    rows += [(4000, f"{common}\nleft", "small")]
+    out = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_documents=20).collect()}
+    assert not any(out[2000 + i].kept or out[2000 + i].base_failed for i in range(25)) and all(out[2000 + i].n_common_words == 30 for i in range(25))
+    assert all(out[i].kept for i in range(1200)) and all(out[3000 + i].kept for i in range(40)) and out[4000].kept
+
+
 def shingled(text, k):
     w = (text or "").translate({c: c + 32 for c in range(65, 91)}).split()
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -156,6 +168,69 @@ def test_decontamination_finds_runs_at_any_place_and_slot_rich_copies(spark):
     assert got == {*((i, 1) for i in range(1, 9)), (20, 2), (21, 3)}
 
 
+def plain_tokens(text):
+    """(template token, value) of a text by plain steps."""
+    out = []
+    for word in text.split():
+        value = regex.sub(r"[^\p{L}\p{N}\s.,:/%€$£°]+|[.,:/]+(?=\s|$)", "", word).lower()
+        token = regex.sub(r"(?<![\p{L}\p{N}'’-])\p{Lu}[\p{L}'’-]*", lambda m: m[0] if m[0] in STARTERS.split() else "<name>", word)
+        token = regex.sub(r"\d+(?:[.,:/]\d+)*", "<num>", token)
+        out.append([token, value])
+    joined = " ".join(t for t, _ in out)
+    joined = regex.sub(rf"(<num>\s?)(?i:{'|'.join(UNITS.split())})(?!\p{{L}})|(<num>)[%€$£°]", lambda m: (m[1] or m[2]) + "<unit>", joined)
+    tokens = [regex.sub(r"[^\p{L}\p{N}<>\s]+", "", t).lower() for t in joined.split(" ")]
+    return [(t, v) for t, (_, v) in zip(tokens, out, strict=True) if t]
+
+
+def plain_leak(doc, item, run=11, width=8, literals=4):
+    """Whether any alignment has a long enough run whose placeholders agree and that holds a window that is looked for."""
+    need = min(run, len(item))
+    slot = lambda t: "<" in t
+    for shift in range(-len(item), len(doc)):
+        ends, at = [], 0
+        for j in range(len(item) + 1):
+            same = j < len(item) and 0 <= j + shift < len(doc) and item[j][0] == doc[j + shift][0]
+            if not same:
+                ends.append((at, j))
+                at = j + 1
+        for low, high in ends:
+            pairs = [(item[j], doc[j + shift]) for j in range(low, high)]
+            seen = {(i[0], i[1], d[1]) for i, d in pairs if slot(i[0])}
+            fair = len(seen) == len({x[:2] for x in seen}) == len({(x[0], x[2]) for x in seen})
+            windows = [pairs[k : k + width] for k in range(len(pairs) - width + 1)]
+            probed = any(sum(not slot(i[0]) for i, _ in w) >= literals or [i[1] for i, _ in w] == [d[1] for _, d in w] for w in windows)
+            if high - low >= need and fair and probed:
+                return True
+    return False
+
+
+def test_decontamination_matches_brute_force(spark):
+    r = random.Random(21)
+    plain = ["of", "and", "pays", "runs", "over", "a", "road", "for", "then", "tea"]
+    made = lambda p: r.choice(["Tom", "Anna", "Paris", "The", "When"]) if r.random() < p else str(r.randint(2, 40)) if r.random() < p else r.choice(["km", "kg", "30%", "5.5"]) if r.random() < p / 2 else r.choice(plain)
+    items = [" ".join(made(p) for _ in range(n)) for p in (0.05, 0.3, 0.8, 0.95) for n in (5, 8, 10, 11, 14, 24) for _ in range(2)]
+    rows = []
+    for i in range(160):
+        words = r.choice(items).split()
+        low = r.randint(0, max(0, len(words) - 6)) if i % 3 == 0 else 0
+        words = words[low : r.randint(low + 5, len(words) + 5)]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            k = r.randrange(len(words))
+            words[k] = str(r.randint(2, 40)) if words[k].isdigit() else r.choice(["Tom", "Emil"]) if words[k][0].isupper() else r.choice(plain)
+        rows.append((i, " ".join([made(0.3) for _ in range(r.randint(0, 5))] + words + [made(0.3) for _ in range(r.randint(0, 5))])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in Decontamination().leaks(docs, bench).collect()}
+    own = [plain_tokens(t) for t in items]
+    want = {(i, k) for i, t in rows for k, item in enumerate(own) if len(item) >= 8 and plain_leak(plain_tokens(t), item)}
+    assert got == want and len(want) > 30
+
+
+def test_decontamination_sees_changed_names_at_the_start(spark):
+    docs = spark.createDataFrame([(1, "Anna walks along the long road to town and buys some tea")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "Tom walks along the long road to town and buys some tea")], "item_id long, text string")
+    assert [(x.longest_run, x.changed) for x in Decontamination().leaks(docs, bench).collect()] == [(12, True)]
+
+
 def kneser_ney(texts, order, open_words, least=2):
     """Probabilities by plain counting: a function of (history, word)."""
     counts = [Counter() for _ in range(order + 1)]

@@ -18,12 +18,22 @@ from umbra.llm.common import small, stored
 
 #: Units that follow a number; fixed values.
 UNITS = "kg g mg lb km m cm mm mi ft l ml s ms h min kmh mph kw kwh w v hz mb gb kb tb percent meters metres miles hours minutes seconds days weeks years grams kilograms liters litres dollars euros pounds cents"
+#: Words that are no names though they begin a sentence; fixed values.
+STARTERS = (
+    "A An The If When While How What Which Who Whose Why Where In On At Of For To And Or But It Its Is Are Was Were Do Does Did Has Have Had Can Will This That These Those There Then After Before Each Every "
+    "Find Given Let Suppose Calculate Compute Some All Any Both One Two Three No Not By With From As So He She They We You I His Her Their Our Your My "
+    "Der Die Das Ein Eine Und Ist Wenn Wie Was Le La Les Un Une Des Du De Et Est Si El Los Las Una Es En Que Por Con"
+)
 NAME, NUMBER, UNIT = "<name>", "<num>", "<unit>"
 
 
 def canonical(text: Column) -> Column:
-    """The template of a text: one token for each token, white space as it was."""
-    names = F.regexp_replace(text, r"\p{Lu}(?<=[\p{L}\p{N},;)]\s\p{Lu})[\p{L}'’-]*", NAME)
+    """The template of a text: one token for each token, white space as it was.
+
+    A capitalised word is a name wherever it stands, unless it is one that often begins
+    a sentence, so a passage has one template whatever stands before it.
+    """
+    names = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}'’-])(?!(?:{'|'.join(STARTERS.split())})(?![\p{{L}}'’-]))[\p{{L}}'’-]+", NAME)
     numbers = F.regexp_replace(names, r"\d+(?:[.,:/]\d+)*", NUMBER)
     units = F.regexp_replace(numbers, rf"({NUMBER}\s?)(?i:{'|'.join(UNITS.split())})(?!\p{{L}})|({NUMBER})[%€$£°]", f"$1$2{UNIT}")
     return F.lower(F.regexp_replace(units, r"[^\p{L}\p{N}<>\s]+", ""))
@@ -90,7 +100,9 @@ class Decontamination:
         and item_id, text; others are ignored. Null or short texts leak nothing; a
         null item_id is ignored; a null doc_id keeps its rows; repeated rows have equal
         results; of rows with one item_id each text counts. Either table may be empty.
-        Items with fewer than ``run`` tokens are too short to be evidence.
+        Texts of any length are read whole, window by window. Of items with fewer than
+        ``run`` tokens all must stand in the document; those with fewer than ``width``
+        are too short to be evidence.
         """
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
         index = self.index(benchmark)
@@ -109,11 +121,12 @@ class Decontamination:
         same = lambda p: F.coalesce(p["item"]["token"] == p["doc"]["token"], F.lit(False))
         # runs of equal tokens, as places after their ends and lengths
         none = F.array().cast("array<struct<stop:int,length:int>>")
-        ended = lambda a: F.when(a["now"] >= self.run, F.concat(a["all"], F.array(F.struct(a["at"].alias("stop"), a["now"].alias("length"))))).otherwise(a["all"])
+        need = F.least(F.lit(self.run), F.size("item"))
+        ended = lambda a: F.when(a["now"] >= a["need"], F.concat(a["all"], F.array(F.struct(a["at"].alias("stop"), a["now"].alias("length"))))).otherwise(a["all"])
         runs = F.aggregate(
             "pairs",
-            F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), none.alias("all")),
-            lambda a, p: F.struct((a["at"] + 1).alias("at"), F.when(same(p), a["now"] + 1).otherwise(0).alias("now"), F.when(same(p), a["all"]).otherwise(ended(a)).alias("all")),
+            F.struct(F.lit(0).alias("at"), F.lit(0).alias("now"), none.alias("all"), need.alias("need")),
+            lambda a, p: F.struct((a["at"] + 1).alias("at"), F.when(same(p), a["now"] + 1).otherwise(0).alias("now"), F.when(same(p), a["all"]).otherwise(ended(a)).alias("all"), a["need"].alias("need")),
             ended,
         )
         slots = lambda r: F.array_distinct(
@@ -123,7 +136,7 @@ class Decontamination:
             )
         )
         ends = lambda r, side: F.size(F.array_distinct(F.transform(r["slots"], lambda s: F.struct(s["kind"], s[side]))))
-        found = both.select("doc_id", "body", "item_id", F.size("item").alias("n_item"), pairs.alias("pairs"))
+        found = both.select("doc_id", "body", "item_id", F.size("item").alias("n_item"), "item", pairs.alias("pairs"))
         found = found.select("doc_id", "body", "item_id", "n_item", F.size(F.filter("pairs", same)).alias("n_equal"), F.transform(runs, lambda r: F.struct(r["length"].alias("length"), slots(r).alias("slots"))).alias("runs"))
         found = found.withColumn("runs", F.filter("runs", lambda r: (F.size(r["slots"]) == ends(r, "was")) & (F.size(r["slots"]) == ends(r, "now"))))
         good = found.where(F.size("runs") > 0).withColumn("longest_run", F.array_max(F.transform("runs", lambda r: r["length"]))).withColumn("slots", F.flatten(F.transform("runs", lambda r: r["slots"])))
@@ -137,7 +150,11 @@ class Decontamination:
         return best.drop("body")
 
     def clean(self, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-        """The rows of ``documents`` that leak no item, with their columns as they are."""
+        """The rows of ``documents`` that leak no item, with their columns as they are.
+
+        Rows go by their text, so copies share their fate; null and blank texts, null ids
+        and repeated rows stay; an empty table gives none.
+        """
         bad = self.leaks(documents.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__body")).distinct()
         rows = documents.withColumn("__body", F.xxhash64(F.coalesce("text", F.lit(""))))
         return rows.join(small(stored(bad, "leaks")), "__body", "left_anti").drop("__body")

@@ -40,7 +40,7 @@ WITH docs AS (
 ), texts AS (SELECT host, count(DISTINCT md5(text)) AS n_texts FROM docs GROUP BY host),
 common AS (
   SELECT host, normal FROM (SELECT host, normal, count(DISTINCT body) AS k FROM lines WHERE normal <> '' GROUP BY ALL) JOIN texts USING (host)
-  WHERE k >= 10 AND k > n_texts * 0.02
+  WHERE k >= 10 AND k > least(200, n_texts * 0.02)
 ), taken AS (SELECT row_id, sum(n) AS n_common FROM lines JOIN common USING (host, normal) GROUP BY row_id),
 counted AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from umbra.llm import chat_format
 from umbra.llm.components import components
 from umbra.llm.decontaminate import STARTERS, UNITS, Decontamination
-from umbra.llm.lm_score import WindowModel, WordIds
+from umbra.llm.lm_score import Spelling, WindowModel, WordIds
 from umbra.llm.near_dedup import NearDedup
 from umbra.llm.common import stored
 from umbra.llm.quality_classifier import KneserNey
@@ -336,29 +336,78 @@ def test_window_model_learns_from_both_sides(spark):
     r = random.Random(10)
     rows = [(i, " ".join(w for _ in range(60) for w in r.choice([("the", "cat", "sat"), ("a", "dog", "ran")]))) for i in range(60)]
     docs = spark.createDataFrame([*rows, (900, None), (901, " "), (902, "cat the ran dog a sat " * 30), rows[0]], "doc_id long, text string")
-    model = WindowModel(known=8, hashed=8, classes=4, size=8, rounds=3, batch=256)
+    model = WindowModel(known=8, hashed=8, classes=16, size=8, rounds=2, batch=64, shard_words=100_000)
     got = {x.doc_id: x for x in model.score(docs).collect()}
     assert got[900].log_p == 0 and got[900].mean_log_p is None and got[901].n_words == 0
     fluent = np.mean([got[i].mean_log_p for i in range(60)])
     assert fluent > got[902].mean_log_p + 0.5 and fluent > -1.5
+    again = {x.doc_id: x.log_p for x in model.score(docs.repartition(7)).collect()}
+    assert all(again[i] == pytest.approx(got[i].log_p, rel=1e-5) for i in again)
     assert model.score(docs.limit(0)).count() == 0
 
 
-def test_window_model_tells_words_of_one_hashed_id_apart(spark):
-    rows = [(i, "the usual cat") for i in range(30)] + [(100, "the q9z cat"), (101, "the usual cat usual q9z"), (102, None), (100, "the q9z cat")]
+def test_window_model_matches_plain_loops(spark):
+    r = random.Random(14)
+    rows = [(i, " ".join(r.choice(["a", "bb", "cat", "rare", "rat", "zoé", "x" * 30]) for _ in range(r.randint(0, 12)))) for i in range(30)] + [(None, "a cat"), (77, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = WindowModel(known=2, hashed=1, classes=1, size=4).score(docs).collect()
-    assert len(out) == len(rows)
-    got = {x.doc_id: x.log_p for x in out}
-    # usual stands 32 times and q9z 3 times in the corpus, on the same id
-    assert got[0] - got[100] == pytest.approx(math.log(32 / 3), abs=1e-4) and got[102] == 0
+    model = WindowModel(known=2, hashed=4, classes=16, size=4)
+    counted = model.counted(docs)
+    vocabulary = model.vocabulary(counted)
+    spelling = model.spelling(counted, vocabulary)
+    weights = [w * 5 for w in model.start()]
+    got = {x.doc_id: (x.n_words, x.log_p) for x in model.scored(docs, vocabulary, spelling, weights).collect()}
+    every = Counter(w for _, t in rows for w in (t or "").encode().split())
+    assert sorted(vocabulary) == sorted(w for w, _ in sorted(every.items(), key=lambda x: (-x[1], x[0]))[:2])
+    two, one = Counter(), Counter()
+    for w, n in every.items():
+        if w not in vocabulary:
+            for k in range(1, len(w) + 1):
+                key = (w[k - 2] if k > 1 else 0, w[k - 1], w[k] if k < len(w) else 256)
+                two[key] += n
+                one[key[1:]] += n
+
+    def spelled(w):
+        total = 0.0
+        for k in range(1, len(w) + 1):
+            a, b, c = (w[k - 2] if k > 1 else 0, w[k - 1], w[k] if k < len(w) else 256)
+            low = (one[b, c] + 5 / 257) / (sum(v for x, v in one.items() if x[0] == b) + 5)
+            total += math.log((two[a, b, c] + 5 * low) / (sum(v for x, v in two.items() if x[:2] == (a, b)) + 5))
+        return total
+
+    ids = WordIds(vocabulary, 4)
+    embed, to_group, to_word = weights
+    for i, t in rows:
+        words, total = (t or "").encode().split(), 0.0
+        for k, w in enumerate(words):
+            h = np.zeros(4)
+            for j, d in enumerate((-2, -1, 1, 2)):
+                h += embed[j][ids[words[k + d]] >> 16 if 0 <= k + d < len(words) else model.ids]
+            h = np.append(np.tanh(h), 1)
+            target = vocabulary.get(w, 2 + w[0])
+            for scores, at in ((h @ to_group, target // model.each), (h @ to_word[target // model.each], target % model.each)):
+                total += scores[at] - math.log(np.exp(scores).sum())
+            total += 0 if w in vocabulary else spelled(w)
+        assert got[i] == (len(words), pytest.approx(total, rel=1e-4, abs=1e-4))
+
+
+def test_spelling_is_a_distribution():
+    spelling = Spelling(*(np.array(x) for x in zip(*Counter(Spelling.cells_of([b"ab", b"abc", b"b", b"ab"])[0].tolist()).items(), strict=True)))
+    # all symbols after a context
+    context = 0 * 256 + ord("a")
+    cells = context * 257 + np.arange(257)
+    at = np.minimum(np.searchsorted(spelling.cells, cells), len(spelling.cells) - 1)
+    logs = np.where(spelling.cells[at] == cells, spelling.own[at], spelling.least[context] + spelling.base[cells % 65792])
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
 
 
 def test_window_model_is_a_distribution_and_ignores_the_word_itself():
-    model = WindowModel(known=8, hashed=8, classes=4, size=8)
+    model = WindowModel(known=2, hashed=8, classes=4, size=8)
     ids = WordIds({b"a": 0, b"b": 1}, 8)
-    targets, around, sizes = model.windows([b"a b x a", b"", b"b"], ids)
-    assert sizes.tolist() == [4, 0, 1] and around[:, 0].tolist() == [16, 16, 1, ids[b"x"]] and around[:, 4].tolist() == [16] * 4
+    targets, around, sizes = model.windows([b"a b x a".split(), [], [b"b"]], ids)
+    assert sizes.tolist() == [4, 0, 1] and around[:, 0].tolist() == [model.ids, model.ids, 1, ids[b"x"] >> 16] and around[:, 4].tolist() == [model.ids] * 4
+    assert targets.tolist() == [0, 1, 2 + ord("x"), 0, 1]
     weights = model.start()
     every = [model.log_probabilities(weights, np.full(len(targets), i), around) for i in range(model.ids)]
-    assert np.allclose(np.exp(every).sum(axis=0), 1, atol=1e-5)
+    assert model.ids <= model.classes * model.each < model.ids + model.classes
+    # places of a group beyond the last id take what is left
+    assert np.all(np.exp(every).sum(axis=0) <= 1 + 1e-5) and np.all(np.exp(every).sum(axis=0) > 1 - 2 * model.classes / model.ids)

@@ -1,21 +1,24 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy.
 
-Words become ids of a vocabulary counted over the whole corpus; rarer words share
-hashed ids, and within an id each has its share of the id's occurrences, from a table
-of all words that grows with the corpus and is joined by shuffle. The network predicts each id from the ids on both sides: embeddings of the
-window, one for each distance, are summed, passed through tanh, and give a softmax
-over classes of ids and one over the ids of a class. Each round, every partition
-trains on all its texts from the same weights, and the weights are averaged, weighed by
-words and summed in parts by a shuffle. A document's score is the sum of the log-probabilities
-of all its words, each with the word itself masked: that of the id, and of the word
-within the id.
+The most frequent words of the whole corpus have ids of their own; a rarer word is
+predicted as a class, its first byte, and then spelled byte by byte with counts from all
+rare words of the corpus, so every word has a probability of its own and all words
+together have one. The network predicts each id from the words on both sides: embeddings
+of the window, one for each distance, are summed, passed through tanh, and give a softmax
+over groups of ids and one over the ids of a group. Texts are dealt to shards by a hash
+of their content; each round trains a part of the corpus, every shard from the same
+weights, which are then averaged, weighed by words and summed in parts by a shuffle. So
+the weights do not depend on how the table is stored. A document's score is the sum of
+the log-probabilities of all its words, each with the word itself masked.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,57 +29,119 @@ from pyspark.sql import functions as F
 from umbra.llm.common import stored
 
 
-def word_hash(word: bytes) -> int:
-    """The hash that Spark's xxhash64 gives."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
+END = 256  # the symbol after a word's last byte
 
 
 class WordIds(dict):
-    """Ids of words: those of the vocabulary, and hashed ones after them."""
+    """For each word its id as context and as target, in one number: ``context << 16 | target``.
+
+    Rare words have a hashed id as context, and as target that of their first byte.
+    """
 
     def __init__(self, vocabulary: dict[bytes, int], hashed: int):
-        super().__init__(vocabulary)
-        self.vocabulary, self.hashed = vocabulary, hashed
+        super().__init__((w, i << 16 | i) for w, i in vocabulary.items())
+        self.vocabulary, self.hashed, self.known = vocabulary, hashed, len(vocabulary)
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
-            self.clear()
-            self.update(self.vocabulary)
-        self[word] = i = len(self.vocabulary) + word_hash(word) % self.hashed
+            self.__init__(self.vocabulary, self.hashed)
+        self[word] = i = (self.known + xxhash.xxh64_intdigest(word) % self.hashed) << 16 | (self.known + word[0])
         return i
 
 
+class Spelling:
+    """Probabilities of bytes after the two bytes before them, from counts of ``cells``, smoothed by those after one byte.
+
+    A cell is (byte before last * 256 + last byte) * 257 + next byte or END; there are
+    256 * 256 * 257 at most. The byte before a word is 0.
+    """
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, steady: float = 5.0):
+        order = np.argsort(cells)
+        self.cells, n = cells[order], counts[order].astype(np.float64)
+        two, one = self.cells // 257, self.cells % 65792
+        after_one = np.bincount(one, n, 65792)
+        base = ((after_one.reshape(256, 257) + steady / 257) / (after_one.reshape(256, 257).sum(axis=1, keepdims=True) + steady)).ravel()
+        totals = np.bincount(two, n, 65536)
+        self.own = np.log((n + steady * base[one]) / (totals[two] + steady)).astype(np.float32)
+        self.base, self.least = np.log(base).astype(np.float32), np.log(steady / (totals + steady)).astype(np.float32)
+
+    @staticmethod
+    def cells_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of all words' bytes after the first one, with END, and where each word's begin."""
+        data = np.frombuffer(b"\0".join(words) + b"\0", np.uint8).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        stops = np.cumsum(sizes + 1) - 1
+        starts = stops - sizes
+        last, nxt = data[:-1].copy(), data[1:].copy()
+        before = np.concatenate([[0], data[:-2]]) if len(data) > 1 else np.zeros(0, np.int64)
+        before[starts] = 0
+        nxt[stops - 1] = END
+        inside = np.ones(len(last), bool)
+        inside[stops[:-1]] = False  # what follows a word's end is no part of a word
+        first = starts - np.arange(len(words))
+        return ((before * 256 + last) * 257 + nxt)[inside], first
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """Of each word (not empty) the log-probability of its bytes after the first one, and its end."""
+        if not words:
+            return np.zeros(0, np.float32)
+        cells, first = self.cells_of(words)
+        at = np.minimum(np.searchsorted(self.cells, cells), max(len(self.cells) - 1, 0))
+        hit = self.cells[at] == cells if len(self.cells) else np.zeros(len(cells), bool)
+        value = self.least[cells // 257] + self.base[cells % 65792]
+        if len(self.cells):
+            value = np.where(hit, self.own[at], value)
+        return np.add.reduceat(value, first)
+
+
+class SpelledWords(dict):
+    """Log-probabilities of spelling: 0 for words with ids of their own, others as they come."""
+
+    def __init__(self, vocabulary: dict[bytes, int], spelling: Spelling):
+        super().__init__((w, 0.0) for w in vocabulary)
+        self.vocabulary, self.spelling = vocabulary, spelling
+
+    def of(self, rows: list[list[bytes]]) -> np.ndarray:
+        if len(self) > 300_000:
+            self.__init__(self.vocabulary, self.spelling)
+        new = [w for w in set(chain.from_iterable(rows)) if w not in self]
+        self.update(zip(new, self.spelling.log_probabilities(new).tolist(), strict=True))
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), np.float64)
+
+
 @dataclass(frozen=True)
 class WindowModel:
-    """``known`` most frequent words have ids of their own, all others share ``hashed`` ids,
-    within which their own counts tell them apart.
-
-    ``classes`` softmax classes of equally many ids, ``side`` words on either side,
-    ``size`` numbers in an embedding, ``rounds`` passes over the corpus, ``rate`` the
-    learning rate, ``batch`` words in a step, ``parts`` pieces of the weights in the
-    averaging shuffle.
+    """``known`` most frequent words have ids of their own; others have one of ``hashed`` ids as
+    context, and as target the id of their first byte, after which they are spelled.
+
+    ``classes`` softmax groups of equally many ids, ``side`` words on either side,
+    ``size`` numbers in an embedding, ``rounds`` equal parts of the corpus after each of
+    which weights are averaged, ``rate`` the learning rate, ``batch`` words in a step,
+    ``shard_words`` about as many words in a shard, ``parts`` pieces of the weights in
+    the averaging shuffle.
     """
 
-    known: int = 768
+    known: int = 3840
     hashed: int = 256
-    classes: int = 32
+    classes: int = 64
     side: int = 2
     size: int = 16
-    rounds: int = 1
+    rounds: int = 2
     rate: float = 0.15
-    batch: int = 2048
+    batch: int = 4096
+    shard_words: int = 2_000_000
     parts: int = 64
     seed: int = 3
 
-    @property
-    def ids(self) -> int:
-        return self.known + self.hashed
+    def __post_init__(self) -> None:
+        if self.known + max(self.hashed, 256) >= 1 << 15:
+            raise ValueError("ids must fit 15 bits")
 
     @property
-    def kind(self) -> type:
-        """Short integers where they do: numpy sorts those by digits."""
-        return np.int16 if self.ids < 1 << 15 else np.int32
+    def ids(self) -> int:
+        """Ids as targets, and at least as many as contexts."""
+        return self.known + max(self.hashed, 256)
 
     @property
     def each(self) -> int:
@@ -109,13 +174,22 @@ class WindowModel:
         top = counted.orderBy(F.desc("n"), "word").limit(self.known)
         return {bytes(r.word): i for i, r in enumerate(top.collect())}
 
-    def within(self, counted: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-        """(word_key, log_share): of each word without an id of its own, the logarithm of its share of its id's occurrences."""
-        own = counted.sparkSession.createDataFrame([(bytearray(w),) for w in vocabulary], "word binary")
-        rare = counted.join(F.broadcast(own), "word", "left_anti").select(F.xxhash64("word").alias("word_key"), "n")
-        rare = rare.withColumn("id", F.pmod("word_key", F.lit(self.hashed)))
-        totals = rare.groupBy("id").agg(F.sum("n").alias("all"))
-        return rare.join(F.broadcast(totals), "id").select("word_key", F.log(F.col("n") / F.col("all")).alias("log_share"))
+    def spelling(self, counted: DataFrame, vocabulary: dict[bytes, int]) -> Spelling:
+        """Counts of byte cells over all words of the corpus without an id of their own; what is collected is bounded by the number of cells."""
+
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w and w not in vocabulary]
+                if rows:
+                    words, counts = zip(*rows, strict=True)
+                    found, first = Spelling.cells_of(list(words))
+                    sizes = np.diff(np.append(first, len(found)))
+                    keys, at = np.unique(found, return_inverse=True)
+                    sums = np.bincount(at, np.repeat(np.array(counts, np.float64), sizes))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sums.astype(np.int64))], names=["cell", "n"])
+
+        found = counted.select("word", "n").mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        return Spelling(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
 
     def start(self) -> list[np.ndarray]:
         """Fresh weights: embeddings by distance, class and word outputs."""
@@ -123,15 +197,16 @@ class WindowModel:
         small = lambda *shape: (r.standard_normal(shape) * 0.1).astype(np.float32)
         return [small(2 * self.side, self.ids + 1, self.size), small(self.size + 1, self.classes), small(self.classes, self.size + 1, self.each)]
 
-    def windows(self, texts: list[bytes], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All words of the texts, the ids around each (``self.ids`` beyond a text's ends), and the texts' word counts."""
-        rows = [np.fromiter(map(ids.__getitem__, t.split()), self.kind) for t in texts]
-        sizes = np.array([len(x) for x in rows], np.int64)
-        pad = np.full(self.side, self.ids, self.kind)
-        flat = np.concatenate([pad] + [x for row in rows for x in (row, pad)])
-        at = np.arange(int(sizes.sum())) + np.repeat(np.arange(1, len(rows) + 1) * self.side, sizes)
+    def windows(self, rows: list[list[bytes]], ids: WordIds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as lists of words: all words as targets, the contexts around each (``self.ids`` beyond a text's ends), and the texts' word counts."""
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+        both = np.fromiter(map(ids.__getitem__, chain.from_iterable(rows)), np.int32)
+        gaps = np.repeat(np.arange(1, len(rows) + 1) * self.side, sizes)
+        at = np.arange(len(both)) + gaps
+        flat = np.full(len(both) + (len(rows) + 1) * self.side, self.ids, np.int16)
+        flat[at] = both >> 16
         around = [flat[at + d] for d in range(-self.side, self.side + 1) if d]
-        return flat[at], np.stack(around) if len(at) else np.empty((2 * self.side, 0), self.kind), sizes
+        return (both & 0xFFFF).astype(np.int16), np.stack(around), sizes
 
     def hidden(self, weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
         """Hidden values of each window, and a constant 1."""
@@ -185,45 +260,46 @@ class WindowModel:
             counts = np.diff(np.r_[first, n])
             embed[k][key[first]] -= rate * 4 * np.add.reduceat(back[order], first, axis=0) / np.sqrt(counts * 32 + 1)[:, None]
 
-    def train(self, documents: DataFrame, vocabulary: dict[bytes, int]) -> list[np.ndarray]:
-        """Weights after ``rounds`` passes over all texts, averaged over the partitions after each."""
+    def train(self, documents: DataFrame, vocabulary: dict[bytes, int], total_words: int) -> list[np.ndarray]:
+        """Weights after all texts, averaged over the shards after each round's part of them."""
         spark = documents.sparkSession
         weights = self.start()
         shapes = [w.shape for w in weights]
         total = sum(w.size for w in weights)
         width = -(-total // self.parts)
-        texts = documents.select(F.col("text").cast("binary"))
-        for _ in range(self.rounds):
+        shards = 1 << max(0, math.ceil(math.log2(max(1, total_words / self.rounds / self.shard_words))))
+        texts = documents.select(F.xxhash64("text", "doc_id").alias("h"), F.col("text").cast("binary"))
+        for turn in range(self.rounds):
             shared = spark.sparkContext.broadcast((vocabulary, weights))
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 known, sent = shared.value
                 own, ids, seen = [w.copy() for w in sent], WordIds(known, self.hashed), 0
                 for batch in batches:
-                    held = [x.as_py() or b"" for x in batch.column(0)]
-                    for some in chunks(held):
-                        targets, around, _ = self.windows(some, ids)
+                    for some in chunks([x.as_py() or b"" for x in batch.column(1)]):
+                        targets, around, _ = self.windows([t.split() for t in some], ids)
                         for at in range(0, len(targets), self.batch):
                             self.step(own, targets[at : at + self.batch], around[:, at : at + self.batch])
                         seen += len(targets)
                 if seen:
                     flat = np.concatenate([w.ravel() for w in own])
-                    flat = np.pad(flat, (0, width * self.parts - total)).reshape(self.parts, width).astype(np.float64) * seen
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(self.parts, dtype=np.int32)), pa.array(np.full(self.parts, seen, np.int64)), pa.array(list(flat), pa.list_(pa.float64()))], names=["part", "words", "sums"])
+                    flat = np.pad(flat, (0, width * self.parts - total)).reshape(self.parts, width)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(self.parts, dtype=np.int32)), pa.array(np.full(self.parts, seen, np.int64)), pa.array(list(flat), pa.list_(pa.float32()))], names=["part", "words", "sums"])
 
             def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, sums = 0, np.zeros(width)
                 for batch in batches:
                     for n, s in zip(batch.column("words"), batch.column("sums"), strict=True):
                         words += n.as_py()
-                        sums += s.values.to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([words], pa.int64()), pa.array([sums / words], pa.list_(pa.float64()))], names=["part", "words", "sums"])
+                        sums += s.values.to_numpy().astype(np.float64) * n.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([words], pa.int64()), pa.array([(sums / words).astype(np.float32)], pa.list_(pa.float32()))], names=["part", "words", "sums"])
 
-            kinds = "part int, words bigint, sums array<double>"
-            rows = texts.mapInArrow(run, kinds).groupBy("part").applyInArrow(lambda key, t: pa.Table.from_batches(summed(key, t.to_batches())), kinds).collect()
+            kinds = "part int, words bigint, sums array<float>"
+            dealt = texts.where(F.pmod("h", F.lit(self.rounds)) == turn).repartition(shards, "h").sortWithinPartitions("h")
+            rows = dealt.mapInArrow(run, kinds).groupBy("part").applyInArrow(lambda key, t: pa.Table.from_batches(summed(key, t.to_batches())), kinds).collect()
             if not rows:
-                return weights
-            flat = np.concatenate([np.array(r.sums) for r in sorted(rows, key=lambda r: r.part)])[:total].astype(np.float32)
+                continue
+            flat = np.concatenate([np.array(r.sums, np.float32) for r in sorted(rows, key=lambda r: r.part)])[:total]
             weights, at = [], 0
             for shape in shapes:
                 n = int(np.prod(shape))
@@ -235,54 +311,42 @@ class WindowModel:
         """One row per row of ``documents``: doc_id, n_words, log_p (sum), mean_log_p.
 
         Input columns doc_id and text; others are ignored. A null or blank text has no
-        words, log_p 0 and a null mean; repeated rows have equal scores; an empty table
-        gives no rows. The words with ids of their own and the weights are the only things
-        that reach the driver; their size is fixed by the parameters. All other words
-        stay in a table, so a word's log-probability is its own however many share its id.
+        words, log_p 0 and a null mean; repeated rows have equal scores; a text of any
+        length is scored whole; an empty table gives no rows. The words with ids of their
+        own, the weights and the counts of spelling are the only things that reach the
+        driver; their size is bounded by the parameters.
         """
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         counted = self.counted(docs)
         vocabulary = self.vocabulary(counted)
-        weights = self.train(docs, vocabulary)
-        shared = documents.sparkSession.sparkContext.broadcast((vocabulary, weights))
+        total = counted.agg(F.sum("n")).first()[0] or 0
+        return self.scored(docs, vocabulary, self.spelling(counted, vocabulary), self.train(docs, vocabulary, total))
+
+    def scored(self, documents: DataFrame, vocabulary: dict[bytes, int], spelling: Spelling, weights: list[np.ndarray]) -> DataFrame:
+        """Scores (see :meth:`score`) under a given vocabulary, spelling and weights."""
+        shared = documents.sparkSession.sparkContext.broadcast((vocabulary, spelling, weights))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, sent = shared.value
-            ids = WordIds(known, self.hashed)
-            hashes: dict[bytes, int] = {}
+            known, spelled, sent = shared.value
+            ids, words = WordIds(known, self.hashed), SpelledWords(known, spelled)
             for batch in batches:
-                counts, sums, keys, times = [], [], [], []
-                for some in chunks([x.as_py() or b"" for x in batch.column(2)]):
-                    targets, around, sizes = self.windows(some, ids)
-                    logs = [np.zeros(1)]
+                counts, sums = [], []
+                for some in chunks([x.as_py() or b"" for x in batch.column(1)]):
+                    rows = [t.split() for t in some]
+                    targets, around, sizes = self.windows(rows, ids)
+                    logs = words.of(rows)
                     for at in range(0, len(targets), 8 * self.batch):
-                        logs.append(self.log_probabilities(sent, targets[at : at + 8 * self.batch], around[:, at : at + 8 * self.batch]).astype(np.float64))
-                    run_sums = np.cumsum(np.concatenate(logs))
+                        part = slice(at, at + 8 * self.batch)
+                        logs[part] += self.log_probabilities(sent, targets[part], around[:, part])
+                    run_sums = np.concatenate([[0.0], np.cumsum(logs)])
                     ends = np.cumsum(sizes)
                     counts += sizes.tolist()
                     sums += (run_sums[ends] - run_sums[ends - sizes]).tolist()
-                    for text in some:
-                        rare = Counter(w for w in text.split() if w not in known)
-                        if len(hashes) > 300_000:
-                            hashes.clear()
-                        for w in rare:
-                            if w not in hashes:
-                                hashes[w] = word_hash(w)
-                        keys.append([hashes[w] for w in rare])
-                        times.append(list(rare.values()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(keys, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))],
-                    names=["row", "doc_id", "n_words", "of_ids", "keys", "times"],
-                )
-
-        rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary"))
-        kinds = "row bigint, doc_id bigint, n_words bigint, of_ids double, keys array<bigint>, times array<bigint>"
-        scored = stored(rows.mapInArrow(run, kinds), "lm-scores")
-        rare = scored.select("row", F.explode(F.arrays_zip("keys", "times")).alias("w")).select("row", F.col("w.keys").alias("word_key"), F.col("w.times").alias("times"))
-        charged = rare.join(self.within(counted, vocabulary), "word_key").groupBy("row").agg(F.sum(F.col("times") * F.col("log_share")).alias("of_words"))
-        out = scored.select("row", "doc_id", "n_words", "of_ids").join(charged, "row", "left")
-        out = out.select("doc_id", "n_words", (F.col("of_ids") + F.coalesce("of_words", F.lit(0.0))).alias("log_p"))
-        return out.select("doc_id", "n_words", "log_p", F.when(F.col("n_words") > 0, F.col("log_p") / F.col("n_words")).alias("mean_log_p"))
+                means = [s / n if n else None for s, n in zip(sums, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], names=["doc_id", "n_words", "log_p", "mean_log_p"])
+
+        kind = documents.schema["doc_id"].dataType.simpleString()
+        return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, n_words bigint, log_p double, mean_log_p double")
 
 
 def softmax(x: np.ndarray) -> np.ndarray:

@@ -84,8 +84,8 @@ WITH docs AS (
 ), lines AS (SELECT row_id, doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS raw FROM docs),
 norm AS (SELECT *, lower(trim(raw, ' ' || chr(9) || chr(13))) AS line FROM lines),
 firsts AS (
-  SELECT line, min({{'d': coalesce(doc_id, -9223372036854775808), 'p': pos}}) AS first FROM norm WHERE length(line) >= 20 GROUP BY line
-), cut AS (SELECT *, length(line) AS n, length(line) // 3 AS k, translate(line, '{BEYOND}', {SINGLE}) AS bytes FROM firsts),
+  SELECT line, min({{'d': coalesce(doc_id, -9223372036854775808), 'p': pos}}) AS first FROM norm WHERE line <> '' GROUP BY line
+), cut AS (SELECT *, length(line) AS n, length(line) // 3 AS k, translate(line, '{BEYOND}', {SINGLE}) AS bytes FROM firsts WHERE length(line) >= 20),
 near AS (
   SELECT DISTINCT a.line FROM cut a JOIN cut b ON abs(a.n - b.n) <= 2 AND b.first < a.first
     AND (a.line[:a.k] = b.line[:a.k] OR a.line[a.n - a.k + 1:] = b.line[b.n - a.k + 1:] OR contains(b.line, a.line[a.k + 1:a.n - a.k])) AND levenshtein(a.bytes, b.bytes) <= 2

@@ -122,9 +122,9 @@ class WindowModel:
     the averaging shuffle.
     """
 
-    known: int = 3840
+    known: int = 1792
     hashed: int = 256
-    classes: int = 64
+    classes: int = 46
     side: int = 2
     size: int = 16
     rounds: int = 2

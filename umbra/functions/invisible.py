@@ -142,6 +142,7 @@ def inspect(df: DataFrame, column: str, prefix: str = "u_", normalise: bool = Tr
         df = df.withColumn(p("bare"), nfkc(col("bare")))
     new = col("zw_decoded").isNotNull() & ~F.contains(F.lower(col("bare")), F.lower(F.coalesce(col("zw_decoded"), F.lit(""))))
     df = df.withColumn(p("semantic"), F.when(new, trim(F.concat(col("bare"), F.lit(" "), col("zw_decoded")))).otherwise(col("bare")))
+    # fixed value
     nothing = F.concat(F.lit("（不可視Unicode "), F.length(text), F.lit("文字）"))
     df = df.withColumn(p("display"), F.coalesce(F.nullif(trim(col("semantic")), F.lit("")), col("tag_decoded"), col("zw_decoded"), nothing))
     return df.drop(*(p(x) for x in ("gate", "controls", "embeds", "isolates", "bare")))

@@ -214,7 +214,7 @@ def fold_page(ops: list[tuple[int, str, str]], layers: dict[str, bool]) -> list[
 def interpret(operations: DataFrame, page: list[str], layers: DataFrame | None = None) -> DataFrame:
     """Texts and paints of operations (page, operation_index, fn, args as JSON), one row each.
 
-    ``layers`` (page[0], layer, visible) has the layers that are off. Operations are
+    ``layers`` (page[0], layer, visible) has the layers that are off; of repeated rows of one the one that hides counts. Operations are
     dealt by page, sorted, and folded as they stream by, so memory does not grow with a
     page. Repeated indices keep their order by fn and args.
     """
@@ -222,7 +222,7 @@ def interpret(operations: DataFrame, page: list[str], layers: DataFrame | None =
     schema = EVENT.format(page=kinds)
     rows = operations.select(*page, "operation_index", "fn", "args")
     if layers is not None:
-        off = layers.groupBy(page[0]).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layer", "visible")))).alias("layers"))
+        off = layers.where("layer IS NOT NULL").groupBy(page[0], "layer").agg(F.bool_and("visible").alias("visible")).groupBy(page[0]).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layer", "visible")))).alias("layers"))
         rows = rows.join(off, page[0], "left")
     else:
         rows = rows.withColumn("layers", F.lit(None).cast("string"))

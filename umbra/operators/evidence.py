@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.functions.geometry import area, box, coverage, expanded
+from umbra.functions.geometry import box, coverage, expanded
 from umbra.functions.instruction import folded, has_instruction
 from umbra.functions.invisible import contains_invisible, inspect
 from umbra.functions.text import comparable, let, nfkc, squeeze, trim, utf16_length, where_once
@@ -78,7 +78,11 @@ def replacement_text(candidates: DataFrame, page: list[str]) -> DataFrame:
         F.col("other").between(F.col("last") + 1, F.col("last") + 20) & (F.greatest("f", "g") > 0) & (F.least("f", "g") >= F.greatest("f", "g") * 0.85)
         & (F.abs(F.col("b.x") - F.col("o.x")) <= F.greatest(F.lit(12.0), F.col("b.height") * 0.75)) & gap.between(F.col("b.height") * -0.25, F.col("b.height") * 1.5)
     )
-    marked = own.join(shown, page).where(near).select(*page, "operation_index").distinct().withColumn("has_nearby_replacement_text", F.lit(True))
+    # what follows within 20 operations lies in one of two buckets of 20, so a page is not paired with itself
+    bucket = lambda c: F.floor(c / 20)
+    own = own.withColumn("__b", F.explode(F.array_distinct(F.array(bucket(F.col("last") + 1), bucket(F.col("last") + 20)))))
+    shown = shown.withColumn("__b", bucket(F.col("other")))
+    marked = own.join(shown, [*page, "__b"]).where(near).select(*page, "operation_index").distinct().withColumn("has_nearby_replacement_text", F.lit(True))
     rows = candidates.drop("has_nearby_replacement_text").join(marked, [*page, "operation_index"], "left")
     return rows.withColumn("has_nearby_replacement_text", F.coalesce("has_nearby_replacement_text", F.lit(False)))
 
@@ -118,12 +122,12 @@ def extracted_detections(items: DataFrame, detections: DataFrame, page: list[str
     odd = where_once(items, contains_invisible(F.col("str"))).select(*page, "item_index")
     odd = odd.withColumn("g", F.sum(F.when(F.col("item_index") - F.lag("item_index").over(w) <= 3, 0).otherwise(1)).over(w) - 1)
     groups = odd.groupBy(*page, "g").agg(F.min("item_index").alias("first"), F.max("item_index").alias("last"))
-    near = groups.join(items.select(*page, "item_index", "str", "box"), page).where(F.col("item_index").between(F.col("first") - 1, F.col("last") + 1))
+    reach = groups.withColumn("item_index", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)))
+    near = reach.join(items.select(*page, "item_index", "str", "box"), [*page, "item_index"])
     inside = F.when(F.col("item_index").between(F.col("first"), F.col("last")), F.col("box"))
-    edge = lambda agg, v: agg(v)
     read = near.groupBy(*page, "g").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", "str"))), lambda s: s["str"]), "").alias("raw"),
-        edge(F.min, inside["x"]).alias("x0"), edge(F.min, inside["y"]).alias("y0"), edge(F.max, inside["x"] + inside["width"]).alias("x1"), edge(F.max, inside["y"] + inside["height"]).alias("y1"),
+        F.min(inside["x"]).alias("x0"), F.min(inside["y"]).alias("y0"), F.max(inside["x"] + inside["width"]).alias("x1"), F.max(inside["y"] + inside["height"]).alias("y1"),
     )
     seen = where_once(inspect(read, "raw"), F.size("u_signals") > 0)
     key = lambda c: F.lower(squeeze(c))
@@ -198,6 +202,3 @@ def page_texts(items: DataFrame, page: list[str]) -> DataFrame:
     """The items of each page as one text, a blank between them."""
     return items.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_index", "str"))), lambda s: s["str"]), " ").alias("page_text"))
 
-
-def box_area(b: Column) -> Column:
-    return area(b)

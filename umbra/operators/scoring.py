@@ -49,6 +49,7 @@ def total(signals: Column) -> Column:
 
 def compact_identifier(text: Column) -> Column:
     """Reference numbers and codes, which are often condensed."""
+    # fixed values
     coded = F.rlike(text, F.lit("(?i)(?:reference|ref\\.?|invoice|id|no\\.?|number|番号|コード)")) | F.rlike(text, F.lit("[A-Z0-9][A-Z0-9._/-]{7,}"))
     return (F.regexp_count(text, F.lit("[0-9]")) >= 4) & coded
 

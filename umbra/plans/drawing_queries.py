@@ -58,11 +58,11 @@ AUXILIARY_SQL = f"WITH {r.CANDIDATES_SQL} SELECT page_number, operation_index, f
 
 
 def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = nfkc(F.substring("text", 1, 400))
+    t = nfkc(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", squeeze(t).alias("squeezed"), comparable(t).alias("comparable"))
 
 
-NORMAL_SQL = f"SELECT doc_id, regexp_replace(substr(text, 1, 400), '{SPACE}+', '', 'g') AS squeezed, lower(regexp_replace(substr(text, 1, 400), '(?:{SPACE}|[\\pP\\pS])+', '', 'g')) AS comparable FROM documents"
+NORMAL_SQL = f"SELECT doc_id, regexp_replace(text, '{SPACE}+', '', 'g') AS squeezed, lower(regexp_replace(text, '(?:{SPACE}|[\\pP\\pS])+', '', 'g')) AS comparable FROM documents"
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

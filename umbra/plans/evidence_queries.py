@@ -86,8 +86,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extracted items are the texts by place; detections are those of even pages."""
-    found = score_candidates(prepared(spark, sf_dir)).where("page_number % 2 = 0").select("page_number", "display_text")
+    """Extracted items are the texts by place; detections are those of high severity."""
+    found = score_candidates(prepared(spark, sf_dir)).where("severity = 'high'").select("page_number", "display_text")
     out = ev.extracted_detections(_items(spark, sf_dir), found, PAGE)
     kinds = F.array_join(F.transform("signals", lambda s: s["kind"]), ",")
     return out.select("page_number", "id", "operation_index", "display_text", F.col("box.x").alias("x"), F.col("box.width").alias("width"), "score", "severity", kinds.alias("kinds"))
@@ -103,7 +103,7 @@ grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY page_number ORDER BY item_in
 spans AS (SELECT page_number, g, min(item_index) AS a, max(item_index) AS b FROM grouped GROUP BY ALL),
 reading AS (SELECT s.page_number, g, string_agg(str, '' ORDER BY item_index) AS raw, min(x) FILTER (item_index BETWEEN a AND b) AS x0, max(x + width) FILTER (item_index BETWEEN a AND b) AS x1
   FROM spans s JOIN items i ON i.page_number = s.page_number AND item_index BETWEEN a - 1 AND b + 1 GROUP BY ALL),
-{r.inspect_sql('reading', 'raw', 'e_')}, shown0 AS (SELECT page_number, display_text FROM rated WHERE page_number % 2 = 0), {r.inspect_sql('shown0', 'display_text', 'd_')},
+{r.inspect_sql('reading', 'raw', 'e_')}, shown0 AS (SELECT page_number, display_text FROM rated WHERE severity = 'high'), {r.inspect_sql('shown0', 'display_text', 'd_')},
 shown AS (SELECT DISTINCT page_number, {squeezed('d_semantic')} AS own FROM d_done WHERE length({squeezed('d_semantic')}) >= 2),
 fresh AS (SELECT e.*, {sql_test(sql_folded('e_semantic'), GENERAL)} AS told FROM e_done e WHERE (e_has_tags OR e_has_zw OR e_has_bidi) AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.page_number = e.page_number AND s.own = {squeezed('e_semantic')})),
 totals AS (SELECT *, least(100, CASE WHEN e_has_tags THEN 50 ELSE 0 END + CASE WHEN e_has_zw THEN 40 ELSE 0 END + CASE WHEN e_has_bidi THEN 35 ELSE 0 END + CASE WHEN told THEN 20 ELSE 0 END) AS score FROM fresh)
@@ -120,12 +120,12 @@ PAGE_TEXTS_SQL = f"WITH {r.DRAWN_SQL} SELECT page_number, string_agg(text, ' ' O
 
 
 def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A link with its image on every third page, over all of it, to the page itself or the next."""
+    """A link on every page, over all of it, to the page itself or the next; its image is small on every fourth."""
     texts, _ = r.drawn(spark, sf_dir)
     clear = texts.where("text NOT LIKE '%llm%'").withColumn("fill_alpha", F.when(F.col("operation_index") % 2 == 0, 0.0).otherwise(F.col("fill_alpha")))
     target = F.col("page_number") + F.col("page_number") % 2
     said = page_texts(spark, sf_dir).select(F.col("page_number").alias("destination_page"), F.col("page_text").alias("destination_text"))
-    pages = clear.select("page_number").distinct().where("page_number % 3 = 0").select("page_number", F.col("page_number").alias("link_id"), target.alias("destination_page"))
+    pages = clear.select("page_number").distinct().select("page_number", F.col("page_number").alias("link_id"), target.alias("destination_page"))
     whole = box(F.lit(-100), F.lit(-100), F.lit(900), F.lit(1100))
     links = pages.join(said, "destination_page").withColumn("box", whole)
     images = pages.select("page_number", F.when(F.col("page_number") % 4 != 0, box(F.lit(-90), F.lit(-100), F.lit(900), F.lit(1100))).otherwise(box(F.lit(0), F.lit(0), F.lit(50), F.lit(50))).alias("box"))
@@ -142,7 +142,7 @@ def _previews_cte() -> str:
     plain = lambda c: f"lower(regexp_replace({c}, '(?:{SPACE}|[\\pP\\pS])+', '', 'g'))"
     return f"""{r.DRAWN_SQL}, clear AS (SELECT * EXCLUDE (fill_alpha), CASE WHEN operation_index % 2 = 0 THEN 0.0 ELSE fill_alpha END AS fill_alpha, {TRIMMED} AS trimmed FROM texts WHERE text NOT LIKE '%llm%'),
 said AS (SELECT page_number, string_agg(text, ' ' ORDER BY operation_index) AS page_text FROM texts GROUP BY page_number),
-links AS (SELECT DISTINCT c.page_number, c.page_number + c.page_number % 2 AS destination_page, page_text FROM clear c JOIN said s ON s.page_number = c.page_number + c.page_number % 2 WHERE c.page_number % 3 = 0 AND c.page_number % 4 <> 0),
+links AS (SELECT DISTINCT c.page_number, c.page_number + c.page_number % 2 AS destination_page, page_text FROM clear c JOIN said s ON s.page_number = c.page_number + c.page_number % 2 WHERE c.page_number % 4 <> 0),
 inside AS (SELECT l.*, operation_index, trimmed FROM links l JOIN clear c USING (page_number) WHERE fill_alpha <= 0.01 AND rendering_mode <> 3 AND NOT hidden_by_clipping AND NOT hidden_by_optional_content AND NOT regexp_matches(text, '{inv.TAGS}|[{inv.OBFUSCATORS}{inv.DIRECTION}]')),
 joined AS (SELECT page_number, destination_page, page_text, list(operation_index ORDER BY operation_index) AS ops, string_agg(trimmed, ' ' ORDER BY operation_index) AS said FROM inside GROUP BY ALL HAVING count(*) >= 2),
 groups AS (SELECT * FROM joined WHERE NOT {sql_test(sql_folded('said'), GENERAL)} AND length({plain('said')}) >= 16 AND contains({plain('page_text')}, {plain('said')}))"""

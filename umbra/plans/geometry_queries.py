@@ -197,13 +197,13 @@ SLIDES_SQL = f"""WITH {ENTRIES} SELECT doc_id, coalesce(bool_or(CASE WHEN origin
 def streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as chunks of a page's text stream: items, styles and language put together."""
     c = table(spark, sf_dir, "conversations")
-    item = F.struct(F.substring("text", 1, 12).alias("str"), F.array(F.lit(1.0)).alias("transform"), F.length("text").cast("double").alias("width"))
+    item = F.struct(F.col("text").alias("str"), F.array(F.lit(1.0)).alias("transform"), F.length("text").cast("double").alias("width"))
     chunks = c.select("conv_id", F.col("turn").alias("chunk_seq"), F.when(F.col("turn") % 3 == 2, F.array().cast("array<struct<str:string,transform:array<double>,width:double>>")).otherwise(F.array(item, item)).alias("items"), F.create_map(F.concat(F.lit("f"), F.col("turn") % 2), "role").alias("styles"), F.when(F.col("turn") % 2 == 1, F.concat(F.lit("l"), F.col("turn"))).alias("lang"))
     m = text_content.merged_chunks(chunks, ["conv_id"])
     return m.select("conv_id", F.array_join(F.transform("items", lambda i: i["str"]), "|").alias("items"), F.try_element_at("styles", F.lit("f0")).alias("f0"), F.try_element_at("styles", F.lit("f1")).alias("f1"), "lang")
 
 
-STREAMS_SQL = """SELECT conv_id, coalesce(string_agg(substr(text, 1, 12) || '|' || substr(text, 1, 12), '|' ORDER BY turn) FILTER (turn % 3 <> 2), '') AS items, arg_max(role, turn) FILTER (turn % 2 = 0) AS f0, arg_max(role, turn) FILTER (turn % 2 = 1) AS f1,
+STREAMS_SQL = """SELECT conv_id, coalesce(string_agg(text || '|' || text, '|' ORDER BY turn) FILTER (turn % 3 <> 2), '') AS items, arg_max(role, turn) FILTER (turn % 2 = 0) AS f0, arg_max(role, turn) FILTER (turn % 2 = 1) AS f1,
   'l' || min(turn) FILTER (turn % 2 = 1) AS lang FROM conversations GROUP BY conv_id"""
 
 

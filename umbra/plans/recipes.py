@@ -46,16 +46,15 @@ def q(text: str) -> str:
 
 
 def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents with invisible characters and instructions put in by doc_id: doc_id, lang, t."""
+    """documents with invisible characters and instructions put into the whole texts by doc_id: doc_id, lang, t."""
     text, by = F.col("text"), F.col("doc_id") % 7
-    part = lambda n: F.substring(text, 1, n)
     t = (
-        F.when(by == 1, F.regexp_replace(part(60), "(?s)(.)", "$1" + ZWSP))
-        .when(by == 2, F.concat(part(40), F.lit(HIDDEN)))
-        .when(by == 3, F.concat(F.lit("flag " + FLAG_SEQUENCE), part(40)))
-        .when(by == 4, F.concat(part(50), F.lit(BITS_PAYLOAD)))
-        .when(by == 5, F.concat(part(80), F.lit(inv.OVERRIDES[1])))
-        .when(by == 6, F.concat(F.lit(inv.ISOLATES[1]), part(30), F.lit(inv.ISOLATE_END)))
+        F.when(by == 1, F.regexp_replace(text, "(?s)(.)", "$1" + ZWSP))
+        .when(by == 2, F.concat(text, F.lit(HIDDEN)))
+        .when(by == 3, F.concat(F.lit("flag " + FLAG_SEQUENCE), text))
+        .when(by == 4, F.concat(text, F.lit(BITS_PAYLOAD)))
+        .when(by == 5, F.concat(text, F.lit(inv.OVERRIDES[1])))
+        .when(by == 6, F.concat(F.lit(inv.ISOLATES[1]), text, F.lit(inv.ISOLATE_END)))
         .otherwise(text)
     )
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.floor(F.col("doc_id") / 11) % len(PHRASES) + 1).cast("int"))
@@ -66,10 +65,10 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
 INJECTED_SQL = f"""
 injected AS (
   SELECT doc_id, lang, CASE WHEN doc_id % 11 = 0 THEN [{', '.join(map(q, PHRASES))}][((doc_id // 11) % {len(PHRASES)} + 1)::INT] ELSE '' END ||
-    CASE doc_id % 7 WHEN 1 THEN regexp_replace(substr(text, 1, 60), '((?s:.))', '\\1{ZWSP}', 'g')
-      WHEN 2 THEN substr(text, 1, 40) || {q(HIDDEN)} WHEN 3 THEN {q('flag ' + FLAG_SEQUENCE)} || substr(text, 1, 40)
-      WHEN 4 THEN substr(text, 1, 50) || '{BITS_PAYLOAD}' WHEN 5 THEN substr(text, 1, 80) || '{inv.OVERRIDES[1]}'
-      WHEN 6 THEN '{inv.ISOLATES[1]}' || substr(text, 1, 30) || '{inv.ISOLATE_END}' ELSE text END AS t
+    CASE doc_id % 7 WHEN 1 THEN regexp_replace(text, '((?s:.))', '\\1{ZWSP}', 'g')
+      WHEN 2 THEN text || {q(HIDDEN)} WHEN 3 THEN {q('flag ' + FLAG_SEQUENCE)} || text
+      WHEN 4 THEN text || '{BITS_PAYLOAD}' WHEN 5 THEN text || '{inv.OVERRIDES[1]}'
+      WHEN 6 THEN '{inv.ISOLATES[1]}' || text || '{inv.ISOLATE_END}' ELSE text END AS t
   FROM documents
 )"""
 

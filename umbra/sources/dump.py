@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.operators.scoring import KINDS
+
 BOX = "struct<x:double,y:double,width:double,height:double>"
 CANDIDATE = (
     f"pageNumber int, operationIndex int, text string, box {BOX}, hasRecordedBox boolean, recordedBoxEmpty boolean, hiddenByClipping boolean, geometryReliable boolean, fontSize double, "
@@ -29,8 +31,15 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("surrounding_color", F.when(F.size(shade) == 3, F.struct(shade[0].alias("r"), shade[1].alias("g"), shade[2].alias("b"))))
 
 
+def labelled(signals: Column) -> Column:
+    """Signals with a label for readers."""
+    labels = F.create_map(*(F.lit(x) for kind, _, label in KINDS for x in (kind, label)))
+    return F.transform(signals, lambda s: F.struct(s["kind"].alias("kind"), F.try_element_at(labels, s["kind"]).alias("label"), s["score"].alias("score")))
+
+
 def report(documents: DataFrame, detections: DataFrame, properties: DataFrame) -> DataFrame:
     """One JSON report per document (doc_id, file_name, page_count): detections by page, property findings and the summary; no previews."""
+    detections, properties = (df.withColumn("signals", labelled(F.col("signals"))) for df in (detections, properties))
     pages = detections.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), "operation_index", "id", "display_text", "box", "score", "severity", "signals"))).alias("d"))
     pages = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", F.transform("d", lambda x: x.dropFields("o")).alias("detections")))).alias("pages"))
     found = properties.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("id", "source", "text", "score", "severity", "signals"))).alias("document_detections"))

@@ -7,6 +7,7 @@ files, and those with object streams, give one row with an error and no operatio
 
 from __future__ import annotations
 
+import html
 import json
 import re
 import zlib
@@ -26,6 +27,10 @@ NAMES = {
 PAINTS = {"f": "fill", "F": "fill", "f*": "eoFill", "B": "fillStroke", "B*": "eoFillStroke", "b": "closeFillStroke", "b*": "closeEOFillStroke", "n": "endPath", "S": "stroke", "s": "closeStroke"}
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 SCALE = 1.5
+#: Bytes that one stream may inflate to.
+MOST_BYTES = 256 << 20
+#: What a broken file may raise; it ends that file, not the job.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, AttributeError, ArithmeticError, MemoryError, zlib.error, RecursionError)
 
 
 class Ref(int):
@@ -112,7 +117,10 @@ class Document:
         for f in filters if isinstance(filters, list) else [filters]:
             if f != "FlateDecode":
                 raise ValueError(f"unknown filter {f}")
-            body = zlib.decompressobj().decompress(body)
+            inflater = zlib.decompressobj()
+            body = inflater.decompress(body, MOST_BYTES)
+            if inflater.unconsumed_tail:
+                raise ValueError("a stream is too large")
         return body
 
     def pages(self) -> Iterator[dict]:
@@ -131,6 +139,25 @@ class Document:
         config = self.get((self.get((self.get(self.trailer["Root"]) or {}).get("OCProperties")) or {}).get("D")) or {}
         return {int(r) for r in self.get(config.get("OFF")) or [] if isinstance(r, Ref)}
 
+    def properties(self) -> Iterator[tuple[str, str, str]]:
+        """(origin, source, value) of strings and numbers of the Info dictionary, then of the elements and attributes of XMP."""
+        for k, v in (self.get(self.trailer.get("Info")) or {}).items():
+            v = self.get(v)
+            if isinstance(v, bytes):
+                yield "info", str(k), v[2:].decode("utf-16-be", "replace") if v[:2] == b"\xfe\xff" else v.decode("latin-1")
+            elif isinstance(v, (int, float)) and not isinstance(v, (bool, Ref)):
+                yield "info", str(k), f"{v:g}"
+        packet = (self.get(self.trailer["Root"]) or {}).get("Metadata")
+        if isinstance(packet, Ref):
+            text = self.stream(packet).decode("utf-8", "replace")
+            # no parser, so no entities that grow: texts of innermost elements, and attributes
+            for tag, value in re.findall(r"<([\w.-]+:[\w.-]+)(?:\s[^<>]*)?>([^<>]+)</\1>", text):
+                if value.strip():
+                    yield "xmp", tag, html.unescape(value.strip())
+            for tag, value in re.findall(r"\s((?!xmlns)[\w.-]+:[\w.-]+)=[\"']([^\"'<>]+)[\"']", text):
+                if not tag.startswith(("rdf:", "xml:", "x:")):
+                    yield "xmp", tag, html.unescape(value)
+
     def font(self, value) -> dict:
         f = self.get(value) or {}
         widths, first = self.get(f.get("Widths")) or [], f.get("FirstChar", 0)
@@ -228,7 +255,7 @@ def read_operations(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 try:
                     rows = [(path.as_py(), *row, None) for row in file_operations(content.as_py() or b"")]
-                except (ValueError, KeyError, IndexError, TypeError, AttributeError, zlib.error, RecursionError) as e:
+                except BROKEN as e:
                     rows = [(path.as_py(), None, None, None, None, None, None, str(e))]
                 columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
@@ -245,13 +272,10 @@ def read_properties(files: DataFrame) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 try:
                     doc = Document(content.as_py() or b"")
-                    info = doc.get(doc.trailer.get("Info")) or {}
-                except (ValueError, TypeError, AttributeError):
+                    found = list(doc.properties())
+                except BROKEN:
                     continue
-                for n, (k, v) in enumerate(info.items()):
-                    v = doc.get(v)
-                    if isinstance(v, bytes):
-                        rows.append((path.as_py(), n, "info", str(k), v[2:].decode("utf-16-be", "replace") if v[:2] == b"\xfe\xff" else v.decode("latin-1")))
+                rows += [(path.as_py(), n, *entry) for n, entry in enumerate(found)]
             kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "ord", "origin", "source", "value"])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from umbra.operators.document import document_candidates, document_detections
 from umbra.operators.properties import property_detections
-from umbra.operators.scoring import instruction_context, median_font_size, score_candidates
 from umbra.sources.pdf import read_operations
 
 
@@ -22,16 +22,10 @@ def watch_properties(spark: SparkSession, folder: str, out: str, checkpoint: str
 
 
 def watch_pdfs(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """PDF files dropped into a folder: their drawing operations are appended to ``out``."""
+    """PDF files dropped into a folder: their detections are appended to ``out``."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        read_operations(df).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        document_detections(document_candidates(read_operations(df))).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def analyse(candidates: DataFrame, page: list[str]) -> DataFrame:
-    """Detections of a batch of candidates with page_width and page_height."""
-    rows = instruction_context(candidates, page)
-    return score_candidates(rows.join(median_font_size(rows, page), page))

@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from umbra.llm.batches import slices
+
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary's format.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: The four kinds of characters that pieces run on in.
@@ -345,7 +347,7 @@ def encode_documents(documents: DataFrame, vocabulary: str, column: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, cache, names = _loaded(vocabulary)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, whole.schema.get_field_index(column))):
             out: dict[str, list] = {c: [] for c in new}
             for x in batch.column(batch.schema.get_field_index(column)):
                 machine, total, of_ids, of_text = Decoder(v), 0, sha256(), sha256()

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.llm.batches import slices
 from umbra.llm.common import small, stored
 from umbra.llm.components import components
 
@@ -118,7 +119,7 @@ class NearDedup:
 
     def _signed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, probes, words = WordHashes(), self._probes(), -(-self.bins // 64)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             counts, one, two, keys, bits = [], [], [], [], []
             for x in batch.column(1):
                 found = self.shingles(x.as_py() or b"", hashes)
@@ -144,7 +145,7 @@ class NearDedup:
 
     def _sets(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 1)):
             rows = [self.shingles(x.as_py() or b"", hashes).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["id", "found"])
 
@@ -237,7 +238,7 @@ class NearDedup:
     def _named(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The batch without its last column, a text, and with the hashes of its set of shingles in its place."""
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole, 2)):
             digests = [np.frombuffer(xxhash.xxh3_128_digest(self.shingles(x.as_py() or b"", hashes).tobytes()), np.int64) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([int(d[k]) for d in digests], pa.int64()) for k in (0, 1))], names=["id", "body", "h1", "h2"])
 

@@ -73,23 +73,25 @@ class Decontamination:
         if self.run < self.width + self.step - 1:
             raise ValueError("run must be width + step - 1 at least")
 
-    def _windows(self, both: Column, step: int) -> Column:
-        """Places and hashes of windows of tokens with their values (see :func:`aligned`)."""
-        last = F.size(both) - self.width
+    def _windows(self, rows: DataFrame, step: int) -> DataFrame:
+        """``rows`` with a row for each window (``w``, its place and hash) of the tokens in ``both`` (see :func:`aligned`)."""
+        token = lambda f, name: F.transform("both", f).alias(name)
+        marks = [token(lambda t: F.xxhash64(t["token"]), "tokens"), token(lambda t: F.xxhash64(F.coalesce(t["value"], F.lit(""))), "words"), token(lambda t: is_slot(t["token"]), "slots")]
+        last = F.size("tokens") - self.width
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
 
         def of(i: Column) -> Column:
-            part = F.slice(both, i + 1, F.lit(self.width))
-            enough = F.size(F.filter(part, lambda t: ~is_slot(t["token"]))) >= self.literals
-            words = F.transform(part, lambda t: F.coalesce(t["value"], F.lit("")))
-            return F.struct(i.alias("at"), F.when(enough, F.xxhash64(F.transform(part, lambda t: t["token"]))).otherwise(F.xxhash64(F.lit("words"), words)).alias("hash"))
+            part = lambda c: F.slice(c, i + 1, F.lit(self.width))
+            enough = F.size(F.array_remove(part("slots"), True)) >= self.literals
+            return F.struct(i.alias("at"), F.when(enough, F.xxhash64(part("tokens"))).otherwise(F.xxhash64(F.lit("words"), part("words"))).alias("hash"))
 
-        return F.transform(starts, of)
+        others = [c for c in rows.columns if c != "both"]
+        return rows.select(*others, *marks).select(*others, F.explode(F.transform(starts, of)).alias("w"))
 
     def index(self, benchmark: DataFrame) -> DataFrame:
         """hash, item_id, item_at of the benchmark's windows."""
         items = benchmark.where("item_id IS NOT NULL").select("item_id", aligned(F.coalesce("text", F.lit(""))).alias("both"))
-        rows = items.select("item_id", F.explode(self._windows(F.col("both"), 1)).alias("w"))
+        rows = self._windows(items, 1)
         return rows.select(F.col("w.hash").alias("hash"), "item_id", F.col("w.at").alias("item_at")).distinct()
 
     def leaks(self, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -107,7 +109,7 @@ class Decontamination:
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
         index = self.index(benchmark)
         index = small(index, self.broadcast_rows)
-        windows = docs.select("body", aligned(F.col("text")).alias("both")).select("body", F.explode(self._windows(F.col("both"), self.step)).alias("w"))
+        windows = self._windows(docs.select("body", aligned(F.col("text")).alias("both")), self.step)
         hits = windows.select("body", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(index, "hash")
         places = stored(hits.select("body", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "places")
 

@@ -9,6 +9,7 @@ of equal template tokens is a leak if the placeholders' values in it agree one t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,7 @@ def aligned(text: Column) -> Column:
 
 
 def is_slot(token: Column) -> Column:
-    return token.contains(NAME) | token.contains(NUMBER) | token.contains(UNIT)
+    return token.contains("<") & (token.contains(NAME) | token.contains(NUMBER) | token.contains(UNIT))
 
 
 @dataclass(frozen=True)
@@ -74,25 +75,48 @@ class Decontamination:
             raise ValueError("run must be width + step - 1 at least")
 
     def _windows(self, rows: DataFrame, step: int) -> DataFrame:
-        """``rows`` with a row for each window (``w``, its place and hash) of the tokens in ``both`` (see :func:`aligned`)."""
-        token = lambda f, name: F.transform("both", f).alias(name)
-        marks = [token(lambda t: F.xxhash64(t["token"]), "tokens"), token(lambda t: F.xxhash64(F.coalesce(t["value"], F.lit(""))), "words"), token(lambda t: is_slot(t["token"]), "slots")]
-        last = F.size("tokens") - self.width
-        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        """``rows`` with a row for each window (``at``, its place, and ``hash``) of the tokens of ``text``.
 
-        def of(i: Column) -> Column:
-            part = lambda c: F.slice(c, i + 1, F.lit(self.width))
-            enough = F.size(F.array_remove(part("slots"), True)) >= self.literals
-            return F.struct(i.alias("at"), F.when(enough, F.xxhash64(part("tokens"))).otherwise(F.xxhash64(F.lit("words"), part("words"))).alias("hash"))
-
-        others = [c for c in rows.columns if c != "both"]
-        return rows.select(*others, *marks).select(*others, F.explode(F.transform(starts, of)).alias("w"))
+        Windows are made by doubling: the mark of 2n tokens is that of two neighbours of n, so
+        a window costs a few steps and not one a token.
+        """
+        others = [c for c in rows.columns if c != "text"]
+        tokens = F.transform("template", lambda t: F.xxhash64(t)).alias("tokens")
+        plain = F.transform("template", lambda t: F.when(is_slot(t), 0).otherwise(1)).alias("plain")
+        df = rows.withColumn("template", template(F.col("text"))).select(*others, "text", tokens, plain)
+        hashed, added = (lambda x, y: F.xxhash64(x, y)), (lambda x, y: x + F.coalesce(y, F.lit(0)))
+        df = self._spans(df, "plain", added)
+        # words count only where some window is short of literals
+        words = F.transform(aligned(F.col("text")), lambda t: F.xxhash64(F.coalesce(t["value"], F.lit(""))))
+        df = df.withColumn("words", F.when(F.exists(F.slice("plain", F.lit(1), F.greatest(F.size("plain") - (self.width - 1), F.lit(0))), lambda n: n < self.literals), words)).drop("text")
+        df = self._spans(self._spans(df, "tokens", hashed), "words", hashed)
+        pick = F.transform("tokens", lambda h, i: F.when(F.get("plain", i) >= self.literals, h).otherwise(F.xxhash64(F.lit("words"), F.get("words", i))))
+        whole = F.slice(F.when(F.col("words").isNull(), F.col("tokens")).otherwise(pick), F.lit(1), F.greatest(F.size("tokens") - (self.width - 1), F.lit(0)))
+        out = df.select(*others, F.posexplode(whole).alias("at", "hash"))
+        return out if step == 1 else out.where(F.col("at") % step == 0)
+
+    def _spans(self, df: DataFrame, name: str, joined: Callable[[Column, Column], Column]) -> DataFrame:
+        """``df`` with the array ``name`` of marks of one token replaced by marks of ``width`` tokens from each place on.
+
+        Marks that reach beyond the end are there but mean nothing.
+        """
+        beside = lambda left, right, by: F.transform(left, lambda x, i: joined(x, F.get(right, i + by)))
+        done, rest, n, span = "", self.width, 1, 0
+        df = df.withColumn("__one", F.col(name))
+        while rest:
+            if rest % 2:
+                df = df.withColumn("__done", beside("__done", "__one", span) if done else F.col("__one"))
+                done, span = "__done", span + n
+            rest //= 2
+            if rest:
+                df, n = df.withColumn("__one", beside("__one", "__one", n)), n * 2
+        return df.withColumn(name, F.col(done)).drop("__one", "__done")
 
     def index(self, benchmark: DataFrame) -> DataFrame:
         """hash, item_id, item_at of the benchmark's windows."""
-        items = benchmark.where("item_id IS NOT NULL").select("item_id", aligned(F.coalesce("text", F.lit(""))).alias("both"))
+        items = benchmark.where("item_id IS NOT NULL").select("item_id", F.coalesce("text", F.lit("")).alias("text"))
         rows = self._windows(items, 1)
-        return rows.select(F.col("w.hash").alias("hash"), "item_id", F.col("w.at").alias("item_at")).distinct()
+        return rows.select("hash", "item_id", F.col("at").alias("item_at")).distinct()
 
     def leaks(self, documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         """doc_id, item_id, longest_run, n_equal, coverage, changed: one row for each row of ``documents`` and item it leaks.
@@ -109,8 +133,8 @@ class Decontamination:
         docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.xxhash64("text"))
         index = self.index(benchmark)
         index = small(index, self.broadcast_rows)
-        windows = self._windows(docs.select("body", aligned(F.col("text")).alias("both")), self.step)
-        hits = windows.select("body", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(index, "hash")
+        windows = self._windows(docs.select("body", "text"), self.step)
+        hits = windows.join(index, "hash")
         places = stored(hits.select("body", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), "places")
 
         items = benchmark.select("item_id", aligned(F.coalesce("text", F.lit(""))).alias("item"))

@@ -44,6 +44,7 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
+            self.clear()
             self.__init__(self.vocabulary, self.hashed)
         self[word] = i = (self.known + xxhash.xxh64_intdigest(word) % self.hashed) << 16 | (self.known + word[0])
         return i
@@ -104,6 +105,7 @@ class SpelledWords(dict):
 
     def of(self, rows: list[list[bytes]]) -> np.ndarray:
         if len(self) > 300_000:
+            self.clear()
             self.__init__(self.vocabulary, self.spelling)
         new = [w for w in set(chain.from_iterable(rows)) if w not in self]
         self.update(zip(new, self.spelling.log_probabilities(new).tolist(), strict=True))

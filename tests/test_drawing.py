@@ -120,6 +120,42 @@ def test_repeated_layers(spark):
     assert [x.hidden_by_optional_content for x in interpret(ops, ["doc_id", "page_number"], layers).collect()] == [True]
 
 
+def test_runs_of_operations(spark, monkeypatch):
+    """Runs give the rows of their operations one by one; each different operation is read once, however often it comes."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    import umbra.operators.drawing as drawing
+
+    r = random.Random(4)
+    some = [
+        ("save", "[]"), ("restore", None), ("transform", "[2, 0, 0.5, 2, 1, -3]"), ("transform", " [[1, 0, 0, 1, 0.25, 0]] "), ("paintFormXObjectBegin", "[[1, 0, 0, 1, 4, 5]]"), ("paintFormXObjectEnd", "[]"),
+        ("setFont", '["F", 7]'), ("setFillGray", "[0.5]"), ("setGState", '[[["ca", 0.5], ["CA", 1]]]'), ("clip", "[]"), ("constructPath", '["fill", null, [0, 0, 0, 9]]'), ("beginMarkedContentProps", '["OC", "off"]'),
+        ("endMarkedContent", ""), ("setLeadingMoveText", "[3, -2]"), ("nextLine", "[]"), ("showText", '[[{"unicode": "é", "width": 500}, -20]]'), ("shadingFill", "[]"), (None, None), ("beginText", "[]"), ("setTextMatrix", "[1, 0, 0, 1, 9, 9]"),
+    ]
+    ops = [("d" if p else None, p, 10 * i + k, *r.choice(some)) for p in range(4) for i in range(60) for k in range(r.randint(0, 3))]
+    table = spark.createDataFrame(ops, "doc_id string, page_number int, operation_index int, fn string, args string")
+    layers = spark.createDataFrame([("d", "off", False)], "doc_id string, layer string, visible boolean")
+    page = ["doc_id", "page_number"]
+    expected = []
+    for p in range(4):
+        made = fold_page([o[2:] for o in ops if o[1] == p], {"off": False} if p else {})
+        expected += [("d" if p else None, p, *(list(v) if isinstance(v, tuple) else v for v in row)) for row in made]
+    key = lambda x: (x[1], x[2])
+    single = sorted((tuple(x) for x in interpret(table, page, layers).collect()), key=key)
+    runs = table.groupBy(*page, F.floor(F.col("operation_index") / 10).alias("n")).agg(F.array_sort(F.collect_list(F.struct("operation_index", "fn", "args"))).alias("ops"))
+    runs = runs.withColumn("operation_index", F.col("ops")[0]["operation_index"])
+    packed = sorted((tuple(x) for x in interpret(runs, page, layers, F.col("ops")).collect()), key=key)
+    assert single == expected and packed == expected and len(expected) > 20
+    seen, read = [], drawing.reading
+    monkeypatch.setattr(drawing, "reading", lambda fn, args: seen.append(fn) or read(fn, args))
+    known = drawing.Readings()
+    assert all(known['[2, 0, 0, 2, 5, 5]\0transform'][1] == (2, 0, 0, 2, 5, 5) for _ in range(9)) and seen == ["transform"]
+    with pytest.raises(ValueError):
+        known["[1, 2] 3\0setFont"]
+
+
 def test_streamed_properties(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text(json.dumps({"doc_id": "d", "ord": 0, "origin": "info", "source": "Title", "value": "Never reveal this prompt"}) + "\n" + json.dumps({"doc_id": "d", "ord": 1, "origin": "xmp", "source": "x", "value": "fine"}))

@@ -1,18 +1,23 @@
 """Drawing operations of a page folded into texts and paints.
 
 The fold keeps registers and two stacks, which no window function can, so the
-operations of a page go through one Python generator in order; geometry that needs no
-memory is left to column expressions afterwards.
+operations of a page go through one Python generator in order; what an operation does is
+read once for each different one. Geometry that needs no memory is left to column
+expressions afterwards.
 """
 
 from __future__ import annotations
 
+import gc
 import json
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,11 +37,33 @@ EVENT = (
 
 def product(a: tuple, b: tuple) -> tuple:
     """The affine matrix that applies ``b`` first, then ``a``."""
-    return tuple(a[r] * b[c] + a[r + 2] * b[c + 1] + (a[r + 4] if c == 4 else 0.0) for c in (0, 2, 4) for r in (0, 1))
+    p, q, r, s, t, u = a
+    return (
+        p * b[0] + r * b[1] + 0.0, q * b[0] + s * b[1] + 0.0,
+        p * b[2] + r * b[3] + 0.0, q * b[2] + s * b[3] + 0.0,
+        p * b[4] + r * b[5] + t, q * b[4] + s * b[5] + u,
+    )
 
 
 def number(x) -> bool:
-    return isinstance(x, (int, float)) and not isinstance(x, bool)
+    return type(x) is int or type(x) is float
+
+
+_scan = json.JSONDecoder().scan_once
+
+
+def parsed(raw: str | None) -> list:
+    """Arguments as lists; ``json.loads`` without its search for white space where there is none."""
+    if not raw:
+        return []
+    if raw[0] == "[":
+        try:
+            found, end = _scan(raw, 0)
+        except StopIteration:
+            end = -1
+        if end == len(raw):
+            return found
+    return json.loads(raw)
 
 
 def matrix_of(args: list) -> tuple | None:
@@ -58,8 +85,9 @@ def colour_of(args: list) -> str | None:
         levels *= 3
     if len(levels) < 3:
         return None
-    scale = 1 if any(v > 1 for v in levels) else 255
-    return "#" + "".join(f"{max(0, min(255, math.floor(v * scale + 0.5))):02x}" for v in levels[:3])
+    scale = 1 if max(levels) > 1 else 255
+    red, green, blue = (max(0, min(255, math.floor(v * scale + 0.5))) for v in levels[:3])
+    return f"#{red:02x}{green:02x}{blue:02x}"
 
 
 def pattern_colour(args: list) -> str | None:
@@ -84,8 +112,10 @@ def empty_clip(args: list) -> bool:
     return min(abs(bounds[2] - bounds[0]), abs(bounds[3] - bounds[1])) <= 1e-6
 
 
-@dataclass(frozen=True)
+@dataclass(slots=True)
 class Registers:
+    """What save and restore keep."""
+
     ctm: tuple = IDENTITY
     text_matrix: tuple = IDENTITY
     x: float = 0.0
@@ -102,6 +132,12 @@ class Registers:
     alpha: float = 1.0
     clipped: bool = False
 
+    def copy(self) -> Registers:
+        return Registers(
+            self.ctm, self.text_matrix, self.x, self.y, self.line_x, self.line_y, self.leading, self.size,
+            self.scale, self.rise, self.mode, self.colour, self.colour_kind, self.alpha, self.clipped,
+        )
+
 
 class Page:
     """The state of a page between operations."""
@@ -109,140 +145,231 @@ class Page:
     def __init__(self, layers: dict[str, bool]):
         self.now, self.saved, self.visible, self.clip, self.layers = Registers(), [], [True], False, layers
 
-    def set(self, **values) -> None:
-        self.now = replace(self.now, **values)
+    def run(self, fn: str, args: list):
+        """Apply one operation; gives ("text", text, advance), ("paint", kind) or nothing."""
+        apply, value = reading(fn, args)
+        return apply(self, value)
 
-    def move(self, dx: float, dy: float) -> None:
-        x, y = self.now.line_x + dx, self.now.line_y + dy
-        self.set(line_x=x, line_y=y, x=x, y=y)
 
-    def restart(self, matrix: tuple | None) -> None:
-        self.set(x=0.0, y=0.0, line_x=0.0, line_y=0.0, **({"text_matrix": matrix} if matrix else {}))
+def give(page: Page, made: tuple | None):
+    return made
 
-    def push(self, args: list) -> None:
-        self.saved.append(self.now)
-        if args and (m := matrix_of([args[0]] if isinstance(args[0], list) else args)):
-            self.set(ctm=product(self.now.ctm, m))
 
-    def run(self, fn: str, args: list):
-        """Apply one operation; gives ("text", text, advance), ("paint", kind) or nothing."""
-        first = args[0] if args else None
-        amount = float(first) if number(first) else 0.0
-        n = self.now
-        match fn:
-            case "save":
-                self.saved.append(n)
-            case "paintFormXObjectBegin":
-                self.push(args)
-            case "restore" | "paintFormXObjectEnd":
-                self.now = self.saved.pop() if self.saved else n
-            case "transform":
-                if m := matrix_of(args):
-                    self.set(ctm=product(n.ctm, m))
-            case "beginText":
-                self.restart(IDENTITY)
-            case "setTextMatrix":
-                self.restart(matrix_of(args))
-            case "moveText" | "setLeadingMoveText":
-                dy = float(args[1]) if len(args) > 1 and number(args[1]) else 0.0
-                if fn == "setLeadingMoveText":
-                    self.set(leading=-dy)
-                self.move(amount, dy)
-            case "nextLine":
-                self.move(0.0, n.leading)
-            case "setLeading":
-                self.set(leading=amount)
-            case "setFont":
-                self.set(size=abs(float(args[1])) if len(args) > 1 and number(args[1]) else 0.0)
-            case "setHScale":
-                self.set(scale=abs(amount) or 100.0)
-            case "setTextRise":
-                self.set(rise=amount)
-            case "setTextRenderingMode":
-                self.set(mode=int(amount))
-            case "setFillRGBColor" | "setFillGray":
-                self.set(colour=colour_of(args), colour_kind="solid")
-            case "setFillColorN":
-                self.set(colour=pattern_colour(args), colour_kind="pattern")
-            case "setFillTransparent":
-                self.set(colour="#ffffff", alpha=0.0)
-            case "setGState":
-                for entry in first if isinstance(first, list) else args:
-                    if isinstance(entry, list) and len(entry) > 1 and entry[0] == "ca" and number(entry[1]):
-                        self.set(alpha=float(entry[1]))
-            case "clip" | "eoClip":
-                self.clip = True
-            case "beginMarkedContent":
-                self.visible.append(self.visible[-1])
-            case "beginMarkedContentProps":
-                layer = args[1] if first == "OC" and len(args) > 1 else True
-                own = layer if isinstance(layer, bool) else self.layers.get(str(layer), True)
-                self.visible.append(self.visible[-1] and own)
-            case "endMarkedContent":
-                if len(self.visible) > 1:
-                    self.visible.pop()
-            case "showText":
-                return ("text", *glyph_run(args))
-            case "constructPath":
-                if self.clip:
-                    self.set(clipped=n.clipped or empty_clip(args))
-                    self.clip = False
-                return ("paint", "path") if first in FILLS else None
-            case _:
-                return ("paint", "image") if fn in IMAGES else None
-        return None
+def put(page: Page, values: dict) -> None:
+    for name, value in values.items():
+        setattr(page.now, name, value)
 
 
-def event(page: Page, index: int, fn: str, raw: str | None) -> tuple | None:
-    """The row that one operation makes, if any; a text moves the cursor on, drawn or blank."""
-    made = page.run(fn, json.loads(raw) if raw else [])
-    if made is None:
-        return None
+def save(page: Page, matrix: tuple | None) -> None:
+    page.saved.append(page.now.copy())
+    if matrix:
+        transform(page, matrix)
+
+
+def restore(page: Page, _) -> None:
+    if page.saved:
+        page.now = page.saved.pop()
+
+
+def transform(page: Page, matrix: tuple) -> None:
+    page.now.ctm = product(page.now.ctm, matrix)
+
+
+def restart(page: Page, matrix: tuple | None) -> None:
+    n = page.now
+    n.x = n.y = n.line_x = n.line_y = 0.0
+    if matrix:
+        n.text_matrix = matrix
+
+
+def move(page: Page, by: tuple[float, float]) -> None:
+    n = page.now
+    n.x = n.line_x = n.line_x + by[0]
+    n.y = n.line_y = n.line_y + by[1]
+
+
+def lead_and_move(page: Page, by: tuple[float, float]) -> None:
+    page.now.leading = -by[1]
+    move(page, by)
+
+
+def next_line(page: Page, _) -> None:
+    move(page, (0.0, page.now.leading))
+
+
+def clip(page: Page, _) -> None:
+    page.clip = True
+
+
+def mark(page: Page, layer) -> None:
+    own = layer if isinstance(layer, bool) else page.layers.get(str(layer), True)
+    page.visible.append(page.visible[-1] and own)
+
+
+def unmark(page: Page, _) -> None:
+    if len(page.visible) > 1:
+        page.visible.pop()
+
+
+def path(page: Page, value: tuple[bool, tuple | None]) -> tuple | None:
+    if page.clip:
+        page.now.clipped = page.now.clipped or value[0]
+        page.clip = False
+    return value[1]
+
+
+def reading(fn: str, args: list) -> tuple[Callable, object]:
+    """What one operation does, read from its arguments alone: a function of the page and a value, and that value."""
+    first = args[0] if args else None
+    amount = float(first) if number(first) else 0.0
+    match fn:
+        case "save":
+            return save, None
+        case "paintFormXObjectBegin":
+            return save, matrix_of([first] if isinstance(first, list) else args) if args else None
+        case "restore" | "paintFormXObjectEnd":
+            return restore, None
+        case "transform":
+            m = matrix_of(args)
+            return (transform, m) if m else (give, None)
+        case "beginText":
+            return restart, IDENTITY
+        case "setTextMatrix":
+            return restart, matrix_of(args)
+        case "moveText" | "setLeadingMoveText":
+            dy = float(args[1]) if len(args) > 1 and number(args[1]) else 0.0
+            return lead_and_move if fn == "setLeadingMoveText" else move, (amount, dy)
+        case "nextLine":
+            return next_line, None
+        case "setLeading":
+            return put, {"leading": amount}
+        case "setFont":
+            return put, {"size": abs(float(args[1])) if len(args) > 1 and number(args[1]) else 0.0}
+        case "setHScale":
+            return put, {"scale": abs(amount) or 100.0}
+        case "setTextRise":
+            return put, {"rise": amount}
+        case "setTextRenderingMode":
+            return put, {"mode": int(amount)}
+        case "setFillRGBColor" | "setFillGray":
+            return put, {"colour": colour_of(args), "colour_kind": "solid"}
+        case "setFillColorN":
+            return put, {"colour": pattern_colour(args), "colour_kind": "pattern"}
+        case "setFillTransparent":
+            return put, {"colour": "#ffffff", "alpha": 0.0}
+        case "setGState":
+            entries = [e for e in (first if isinstance(first, list) else args) if isinstance(e, list) and len(e) > 1]
+            return put, {"alpha": float(v) for k, v, *_ in entries if k == "ca" and number(v)}
+        case "clip" | "eoClip":
+            return clip, None
+        case "beginMarkedContent":
+            return mark, True
+        case "beginMarkedContentProps":
+            return mark, args[1] if first == "OC" and len(args) > 1 else True
+        case "endMarkedContent":
+            return unmark, None
+        case "showText":
+            return give, ("text", *glyph_run(args))
+        case "constructPath":
+            return path, (empty_clip(args), ("paint", "path") if first in FILLS else None)
+        case _:
+            return give, ("paint", "image") if fn in IMAGES else None
+
+
+def event(page: Page, made: tuple) -> tuple:
+    """The row, but for its index, of what an operation gave; a text moves the cursor on, drawn or blank."""
     r = page.now
     kind, text, advance = made if made[0] == "text" else (made[1], None, None)
+    row = (kind, text, advance, r.size, r.scale, r.rise, r.ctm, r.text_matrix, r.x, r.y, r.colour, r.colour_kind, r.alpha, r.mode, r.clipped, not page.visible[-1])
     if text is not None:
-        page.set(x=r.x + advance * r.size * r.scale / 100)
-    return (index, kind, text, advance, r.size, r.scale, r.rise, list(r.ctm), list(r.text_matrix), r.x, r.y, r.colour, r.colour_kind, r.alpha, r.mode, r.clipped, not page.visible[-1])
+        r.x += advance * r.size * r.scale / 100
+    return row
 
 
 def fold_page(ops: list[tuple[int, str, str]], layers: dict[str, bool]) -> list[tuple]:
     """Rows of texts and paints of a page's (index, function, JSON arguments) in order."""
     page = Page(layers)
-    return [row for op in ops if (row := event(page, *op))]
+    return [(index, *event(page, made)) for index, fn, raw in ops if (made := page.run(fn, parsed(raw))) is not None]
+
+
+class Readings(dict):
+    """:func:`reading` of "arguments NUL function", kept for short ones until there are ``most``; JSON holds no NUL."""
+
+    most = 100_000
+
+    def __missing__(self, code: str) -> tuple:
+        raw, _, fn = code.partition("\0")
+        found = reading(fn, parsed(raw))
+        if len(code) < 200:
+            if len(self) >= self.most:
+                self.clear()
+            self[code] = found
+        return found
+
+
+def matrices(found: tuple, kind: pa.DataType) -> pa.Array:
+    """Matrices of six numbers as lists."""
+    values = pa.array(np.fromiter(chain.from_iterable(found), np.float64, 6 * len(found)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * len(found) + 1, 6, dtype=np.int32)), values).cast(kind)
 
 
-def interpret(operations: DataFrame, page: list[str], layers: DataFrame | None = None) -> DataFrame:
+def interpret(operations: DataFrame, page: list[str], layers: DataFrame | None = None, run: Column | None = None) -> DataFrame:
     """Texts and paints of operations (page, operation_index, fn, args as JSON), one row each.
 
     ``layers`` (page[0], layer, visible) has the layers that are off; of repeated rows of one the one that hides counts. Operations are
     dealt by page, sorted, and folded as they stream by, so memory does not grow with a
-    page. Repeated indices keep their order by fn and args.
+    page. Repeated indices keep their order by fn and args. With ``run`` a row stands for
+    a run of operations: an array of (operation_index, fn, args) made of the row's columns
+    after rows are dealt and sorted by operation_index, so only short rows are shuffled;
+    runs of a page must not overlap.
     """
     kinds = ", ".join(f"`{c}` {operations.schema[c].dataType.simpleString()}" for c in page)
     schema = EVENT.format(page=kinds)
-    rows = operations.select(*page, "operation_index", "fn", "args")
     if layers is not None:
-        off = layers.where("layer IS NOT NULL").groupBy(page[0], "layer").agg(F.bool_and("visible").alias("visible")).groupBy(page[0]).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layer", "visible")))).alias("layers"))
-        rows = rows.join(off, page[0], "left")
+        off = layers.where("layer IS NOT NULL").groupBy(page[0], "layer").agg(F.bool_and("visible").alias("visible")).groupBy(page[0]).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("layer", "visible")))).alias("__layers"))
+        rows = operations.join(off, page[0], "left")
     else:
-        rows = rows.withColumn("layers", F.lit(None).cast("string"))
-    rows = rows.select(*page, "operation_index", "fn", "args", "layers").repartition(*page).sortWithinPartitions(*page, "operation_index", "fn", "args")
+        rows = operations.withColumn("__layers", F.lit(None).cast("string"))
+    order = ["operation_index"] if run is not None else ["operation_index", "fn", "args"]
+    if run is None:
+        rows = rows.select(*page, *order, "__layers")
+        run = F.array(F.struct(*order))
+    rows = rows.repartition(*page).sortWithinPartitions(*page, *order).select(*page, "__layers", run.alias("__run"))
     width = len(page)
     kinds_of = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema).fields]
     names = [*page, *(part.split(" ")[0] for part in EVENT.split(", ")[1:])]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, Page({})
+        key, state, known = None, Page({}), Readings()
         for batch in batches:
-            out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:width] != key:
-                    key, state = row[:width], Page(json.loads(row[-1]) if row[-1] else {})
-                made = event(state, *row[width:-1])
-                if made:
-                    out.append((*key, *made))
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_of, strict=True)], names=names)
+            gc.disable()  # rows are many and hold no cycles
+            sizes = pc.fill_null(pc.list_value_length(batch.column(width + 1)), 0).to_pylist()
+            index, fn, args = batch.column(width + 1).flatten().flatten()
+            text = lambda c: pc.fill_null(c.cast(pa.large_string()), "")
+            codes = pc.binary_join_element_wise(text(args), text(fn), pa.scalar("\0", pa.large_string())).dictionary_encode()
+            read = [known[c] for c in codes.dictionary.to_pylist()]
+            steps = [read[i] for i in codes.indices.to_numpy().tolist()]
+            owners, places, out = [], [], []
+            keys = zip(*(batch.column(k).to_pylist() for k in range(width)), strict=True)
+            stop = 0
+            for row, (own, off, size) in enumerate(zip(keys, batch.column(width).to_pylist(), sizes, strict=True)):
+                if own != key:
+                    key, state = own, Page(json.loads(off) if off else {})
+                start, stop = stop, stop + size
+                for at in range(start, stop):
+                    apply, value = steps[at]
+                    made = apply(state, value)
+                    if made is not None:
+                        owners.append(row)
+                        places.append(at)
+                        out.append(event(state, made))
+            owners = pa.array(owners, pa.int64())
+            columns = [batch.column(k).take(owners).cast(kinds_of[k]) for k in range(width)]
+            columns.append(index.take(pa.array(places, pa.int64())).cast(pa.int32()))
+            for values, kind in zip(zip(*out, strict=True) if out else [()] * 16, kinds_of[width + 1 :], strict=True):
+                columns.append(matrices(values, kind) if pa.types.is_list(kind) else pa.array(values, kind))
+            gc.enable()
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(fold, schema)
 

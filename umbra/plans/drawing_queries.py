@@ -30,10 +30,11 @@ def fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("endMarkedContent", "[]"), ("restore", "[]"), ("paintImageXObject", "[]"),
     ]
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    rows = t.withColumn("line", line).select("l_orderkey", "line", F.posexplode(F.array(*(F.struct(F.lit(f).alias("fn"), (a if not isinstance(a, str) else F.lit(a)).alias("args")) for f, a in ops))).alias("k", "o"))
-    rows = rows.select(F.lit(0).alias("doc_id"), F.col("l_orderkey").alias("page_number"), (F.col("line") * 100 + F.col("k")).cast("int").alias("operation_index"), "o.fn", "o.args")
+    rows = t.withColumns({"line": line, "doc_id": F.lit(0), "page_number": F.col("l_orderkey")}).withColumn("operation_index", (F.col("line") * 100).cast("int"))
+    at = lambda k: (F.col("line") * 100 + k).cast("int").alias("operation_index")
+    run = F.array(*(F.struct(at(k), F.lit(f).alias("fn"), (a if not isinstance(a, str) else F.lit(a)).alias("args")) for k, (f, a) in enumerate(ops)))
     layers = spark.sql("SELECT 0 AS doc_id, 'off' AS layer, false AS visible")
-    e = interpret(rows, ["doc_id", "page_number"], layers)
+    e = interpret(rows, ["doc_id", "page_number"], layers, run)
     return e.select("page_number", "operation_index", "kind", "text", "advance", "font_size", "horizontal_scale", F.col("ctm")[4].alias("e"), F.col("ctm")[0].alias("a"), "text_x", "text_y", "fill_color", "fill_alpha", "rendering_mode", "hidden_by_clipping", "hidden_by_optional_content")
 
 

@@ -315,6 +315,29 @@ def test_classifier_limits_and_verdicts_match_plain_ones(spark):
         assert any(out[i].repeats == out[i].most_repeats for i in held) and all(out[i].kept for i in held if out[i].perplexity <= out[i].limit and out[i].repeats == out[i].most_repeats)
 
 
+def test_classifier_is_fitted_on_all_trusted_text(spark):
+    """Other texts are scored by all trusted ones, each trusted one by the other half, and limits are those of all trusted ones."""
+    r = random.Random(5)
+    lexicon = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join(r.choice(lexicon) for _ in range(r.randint(5, 40))) + f" own{i}", "en") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    kn = KneserNey(quantile=0.9, slack=0.0)
+    out = {x.doc_id: x for x in kn.classify(docs, labels).collect()}
+    halves = {x.doc_id: x.h for x in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)).alias("h")).collect()}
+    models = {h: kneser_ney([t for i, t, _ in rows if i < 80 and halves[i] != h], 3, kn.open_words) for h in (0, 1, None)}
+    logs, sizes = {}, {}
+    for i, t, _ in rows:
+        w = ["^", "^", *t.split()]
+        p = models[halves[i] if i < 80 else None]
+        logs[i], sizes[i] = sum(math.log(p(tuple(w[k : k + 2]), w[k + 2])) for k in range(len(w) - 2)), len(w) - 2
+    mean = sum(logs.values()) / sum(sizes.values())
+    h = {i: -(logs[i] + 20 * mean) / (sizes[i] + 20) for i in logs}
+    high = sorted(h[i] for i in range(80))[math.ceil(0.9 * 80) - 1]
+    for i in out:
+        assert out[i].perplexity == pytest.approx(math.exp(h[i])) and out[i].limit == pytest.approx(math.exp(high))
+
+
 def test_classifier_keeps_good_and_rejects_junk(spark):
     r = random.Random(9)
     lexicon = [f"word{i}" for i in range(60)]

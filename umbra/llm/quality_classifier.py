@@ -4,7 +4,8 @@ N-grams of the trusted texts are counted by hash; the counts of each order are j
 with those of the order below it (continuation counts, discounts, weights of the lower
 order), which gives a table of probabilities and backoff weights. The n-grams of every
 document are joined with that table, order by order, and summed to a perplexity.
-Documents above the quantiles of trusted texts in their language are rejected. All of
+Documents above the quantiles of trusted texts in their language, which are scored by
+a model of the other half of them, are rejected. All of
 it is joins and aggregates; no model reaches the driver or a Python process.
 """
 
@@ -32,11 +33,13 @@ def positions(documents: DataFrame, *columns: str) -> DataFrame:
 class KneserNey:
     """Trigrams. Parameters:
 
-    ``sample_chars`` bounds the trusted text that the model is fitted on: so many
-    characters for all languages together, in equal parts, from texts that a hash picks.
+    All trusted text is fitted, and all trusted texts give the limits (see
+    :meth:`cross_scores`). Only a caller that sets ``sample_chars`` bounds the trusted text
+    that the model is fitted on: so many characters for all languages together, in equal
+    parts, from texts that a hash picks; then limits are those of the other trusted texts.
     N-grams of two or three words that count less than ``least`` are cut off: their whole
     count goes to the lower order. ``quantile`` is that of the figures of trusted texts
-    outside the sample; ``slack`` is added to that of the perplexity's logarithm and
+    under a model that did not see them; ``slack`` is added to that of the perplexity's logarithm and
     ``repeat_slack`` to that of the share of words that repeat the word before them,
     which an n-gram model cannot tell from common words. ``prior_words`` words of the
     language's mean steady the figures of short texts. ``open_words`` is the number of
@@ -44,7 +47,7 @@ class KneserNey:
     is joined by shuffle.
     """
 
-    sample_chars: int = 8_000_000
+    sample_chars: int | None = None
     least: int = 2
     quantile: float = 0.995
     slack: float = 0.15
@@ -93,17 +96,17 @@ class KneserNey:
     def word_log_probabilities(self, documents: DataFrame, model: DataFrame, *columns: str) -> DataFrame:
         """``columns``, log_p (natural) and again (whether it equals the word before it) of each word of ``documents`` (text); ``model`` is a stored table of :meth:`fit`.
 
-        Each order is a join on the n-gram's hash: by broadcast where the whole model has
-        ``broadcast_rows`` rows at most, which ``sample_chars`` sees to, else by shuffle.
+        Each order is a join on the n-gram's hash: by broadcast where the model up to this
+        order has ``broadcast_rows`` rows at most, else by shuffle.
         """
-        few = model.limit(self.broadcast_rows + 1).count() <= self.broadcast_rows
+        sizes = {r.n: r["count"] for r in model.groupBy("n").count().collect()}
         empty = model.where("n = 0").select("weight").first()
         least = (empty.weight if empty else 1.0) / self.open_words
         h = F.xxhash64
         rows = positions(documents, *columns).select(*columns, h("w0").alias("g1"), h("w1", "w0").alias("g2"), h("w2", "w1", "w0").alias("g3"), h("w1").alias("h1"), h("w2", "w1").alias("h2"), (F.col("w0") == F.col("w1")).alias("again"))
         for n, key, value in ((1, "g1", "p"), (2, "g2", "p"), (3, "g3", "p"), (1, "h1", "weight"), (2, "h2", "weight")):
             side = model.where(F.col("n") == n).select(F.col("gram").alias(key), F.col("p").alias(f"p_{key}"), F.col("weight").alias(f"weight_{key}"))
-            rows = rows.join(F.broadcast(side) if few else side, key, "left").drop("p_" + key if value == "weight" else "weight_" + key)
+            rows = rows.join(F.broadcast(side) if sum(sizes.get(k, 0) for k in range(n + 1)) <= self.broadcast_rows else side, key, "left").drop("p_" + key if value == "weight" else "weight_" + key)
         part = lambda k: F.coalesce(f"p_g{k}", F.lit(0.0))
         weight = lambda k: F.coalesce(f"weight_h{k}", F.lit(1.0))
         total = part(3) + weight(2) * (part(2) + weight(1) * (part(1) + F.lit(least)))
@@ -119,15 +122,32 @@ class KneserNey:
         return out.select("doc_id", "lang", "body", *(v.alias(k) for k, v in filled.items()))
 
     def trusted_sample(self, trusted: DataFrame) -> DataFrame:
-        """Of ``trusted`` (doc_id, lang, n_chars) the texts that the model is fitted on, four fifths of a language's at most."""
+        """With ``sample_chars``: of ``trusted`` (doc_id, lang, n_chars) the texts that the model is fitted on, four fifths of a language's at most."""
         sums = trusted.groupBy("lang").agg(F.sum("n_chars").alias("all"))
         each = self.sample_chars / max(1, sums.count())
         share = F.least(F.lit(0.8), F.lit(float(each)) / F.greatest("all", F.lit(1)))
         rank = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 32)) / F.lit(float(1 << 32))
         return trusted.join(sums, "lang").where(rank < share).select("doc_id")
 
+    def cross_scores(self, documents: DataFrame, trusted: DataFrame) -> DataFrame:
+        """:meth:`scores` of ``documents``: of texts in ``trusted`` (doc_id) under the model of the other half of them, of all others under the model of all.
+
+        Halves are dealt by a hash of doc_id. So each trusted text has the figure of a text
+        not seen, and limits may be taken from all of them; a model of half the text knows
+        less, which makes limits a little wider, never narrower.
+        """
+        half = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)).cast("int")
+        ids = stored(trusted.select("doc_id", half.alias("__half")), "kn-halves")
+        rows = documents.join(small(ids), "doc_id", "left")
+        out = None
+        for of, fitted in ((rows["__half"].isNull(), rows["__half"].isNotNull()), (rows["__half"] == 0, rows["__half"] == 1), (rows["__half"] == 1, rows["__half"] == 0)):
+            model = stored(self.fit(rows.where(fitted).select("text")), "kn-model")
+            scored = stored(self.scores(rows.where(of), model), "kn-scores")
+            out = scored if out is None else out.union(scored)
+        return out
+
     def limits(self, held_out: DataFrame) -> DataFrame:
-        """lang, high, most_again: limits from the steadied figures (lang, h, again) of trusted texts outside the sample."""
+        """lang, high, most_again: limits from the steadied figures (lang, h, again) of trusted texts under models that did not see them."""
         at = lambda c: F.percentile_approx(c, F.lit(self.quantile), F.lit(10_000))
         return held_out.where("h IS NOT NULL").groupBy("lang").agg((at("h") + self.slack).alias("high"), (at("again") + self.repeat_slack).alias("most_again"))
 
@@ -141,7 +161,7 @@ class KneserNey:
 
         A text goes if its perplexity is above ``limit`` or its share of words equal to the
         word before them above ``most_repeats``; figures equal to a limit are kept. There
-        is no lower limit: the texts that the model was fitted on have low perplexities.
+        is no lower limit: copies of texts that the model was fitted on have low perplexities.
         Trusted are the texts that ``labels`` calls good (quality 1) and not toxic; toxic wording
         that is fluent is not seen by perplexity. Input columns doc_id, text, lang and doc_id, quality, toxic; others are
         ignored. A null or blank text has no words, a null perplexity and is kept, as is
@@ -153,16 +173,19 @@ class KneserNey:
         good = labels.where("quality = 1 AND toxic = 0").select("doc_id").distinct()
         sized = docs.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
         trusted = stored(sized.join(good, "doc_id").dropDuplicates(["doc_id"]), "trusted")
-        sample = stored(self.trusted_sample(trusted), "kn-sample")
-        model = stored(self.fit(docs.join(small(sample), "doc_id", "left_semi")), "kn-model")
-        scored = stored(self.scores(docs, model), "kn-scores")
+        if self.sample_chars is None:
+            scored, unseen = self.cross_scores(docs, trusted), trusted.select("doc_id")
+        else:
+            sample = stored(self.trusted_sample(trusted), "kn-sample")
+            model = stored(self.fit(docs.join(small(sample), "doc_id", "left_semi")), "kn-model")
+            scored, unseen = stored(self.scores(docs, model), "kn-scores"), trusted.select("doc_id").join(small(sample), "doc_id", "left_anti")
         full = scored.where("n_words > 0").groupBy("lang").agg((F.sum("log_p") / F.sum("n_words")).alias("mean"), (F.sum("n_again") / F.sum("n_words")).alias("usual"))
         # a row for each language
         rows = scored.join(F.broadcast(full) if full.count() < 100_000 else full, "lang", "left")
         steady = lambda s, m: (F.col(s) + self.prior_words * F.col(m)) / (F.col("n_words") + self.prior_words)
         some = F.col("n_words") > 0
         rows = rows.withColumns({"h": F.when(some, -steady("log_p", "mean")), "again": F.when(some, steady("n_again", "usual"))})
-        held_out = rows.join(trusted.select("doc_id").join(small(sample), "doc_id", "left_anti"), "doc_id", "left_semi")
+        held_out = rows.join(unseen, "doc_id", "left_semi")
         limits = stored(self.limits(held_out), "kn-limits")
         out = rows.join(small(limits), "lang", "left")
         return out.select(

@@ -1,9 +1,12 @@
 """Line dedup against brute force."""
 
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
+from umbra.llm.common import CLEANUP, stored
 from umbra.llm.line_dedup import PACKED, LineDedup, band_distance, line_distance, packed, packed_allow
 
 
@@ -104,3 +107,16 @@ def test_packed_counts_are_compared_all_at_once(spark):
     for x in df.collect():
         apart = sum(min(d := abs(x.a.count(c) - x.b.count(c)) % 8, 8 - d) for c in "".join(PACKED))
         assert (x.m1, x.m2, x.m3) == (apart <= 2, apart <= 4, apart <= 6)
+
+
+def test_stored_tables_leave_no_shuffles(spark):
+    """op2 keeps tables of lines; the shuffles they came from must not stay beside them."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_\d+", blocks.getAllFiles().mkString(" ")))
+    before, setting = held(), spark.conf.get(CLEANUP)
+    for _ in range(3):
+        df = stored(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.count("*").alias("n")), "test")
+    end = time.monotonic() + 20
+    while held() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(CLEANUP) == setting and df.where("n = 4").limit(9).toArrow().num_rows == 9

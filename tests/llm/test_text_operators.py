@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from umbra.llm import chat_format
 from umbra.llm.components import components
 from umbra.llm.decontaminate import STARTERS, UNITS, Decontamination
-from umbra.llm.lm_score import Spelling, WindowModel, WordIds
+from umbra.llm.lm_score import SpelledWords, Spelling, WindowModel, WordIds
 from umbra.llm.near_dedup import NearDedup
 from umbra.llm.common import stored
 from umbra.llm.quality_classifier import KneserNey
@@ -413,6 +413,21 @@ def test_window_model_matches_plain_loops(spark):
         assert got[i] == (len(words), pytest.approx(total, rel=1e-4, abs=1e-4))
 
 
+def test_only_rare_words_are_spelled():
+    """Words with ids of their own are not looked up, let alone spelled; the table of two bytes gives what the formula gives."""
+    words = [b"abc", b"abd", b"xy", b"a"]
+    cells, _ = Spelling.cells_of(words)
+    keys, n = np.unique(cells, return_counts=True)
+    spelling = Spelling(keys, n)
+    asked = SpelledWords(spelling)
+    got = asked.of([[b"known", b"abc"], [], [b"zq", b"known"]], np.array([False, True, True, False]))
+    assert set(asked) == {b"abc", b"zq"} and got[0] == got[3] == 0
+    own = dict(zip(spelling.cells.tolist(), spelling.own.tolist(), strict=True))
+    for word, value in ((b"abc", got[1]), (b"zq", got[2])):
+        found, _ = Spelling.cells_of([word])
+        assert value == pytest.approx(sum(own.get(c, spelling.least[c // 257] + spelling.base[c % 65792]) for c in found.tolist()), rel=1e-5)
+
+
 def test_spelling_is_a_distribution():
     spelling = Spelling(*(np.array(x) for x in zip(*Counter(Spelling.cells_of([b"ab", b"abc", b"b", b"ab"])[0].tolist()).items(), strict=True)))
     # all symbols after a context

@@ -18,7 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,19 @@ class Spelling:
         totals = np.bincount(two, n, 65536)
         self.own = np.log((n + steady * base[one]) / (totals[two] + steady)).astype(np.float32)
         self.base, self.least = np.log(base).astype(np.float32), np.log(steady / (totals + steady)).astype(np.float32)
+        self.seen: tuple[np.ndarray, np.ndarray] | None = None
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each two bytes, and in a row the values of all next symbols; row 0 is of two bytes never seen. Made where it is used, not sent."""
+        if self.seen is None:
+            pairs = np.unique(self.cells // 257)
+            row = np.zeros(65536, np.int32)
+            row[pairs] = np.arange(1, len(pairs) + 1)
+            values = np.zeros((len(pairs) + 1, 257), np.float32)
+            values[1:] = self.least[pairs, None] + self.base.reshape(256, 257)[pairs % 256]
+            values[row[self.cells // 257], self.cells % 257] = self.own
+            self.seen = row, values
+        return self.seen
 
     @staticmethod
     def cells_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,29 +100,33 @@ class Spelling:
         """Of each word (not empty) the log-probability of its bytes after the first one, and its end."""
         if not words:
             return np.zeros(0, np.float32)
+        row, values = self.table()
         cells, first = self.cells_of(words)
-        at = np.minimum(np.searchsorted(self.cells, cells), max(len(self.cells) - 1, 0))
-        hit = self.cells[at] == cells if len(self.cells) else np.zeros(len(cells), bool)
-        value = self.least[cells // 257] + self.base[cells % 65792]
-        if len(self.cells):
-            value = np.where(hit, self.own[at], value)
+        pairs = cells // 257
+        rows = row[pairs]
+        value = values[rows, cells - pairs * 257]
+        unseen = rows == 0
+        value[unseen] = self.base[cells[unseen] % 65792]
         return np.add.reduceat(value, first)
 
 
 class SpelledWords(dict):
-    """Log-probabilities of spelling: 0 for words with ids of their own, others as they come."""
+    """Log-probabilities of spelling, kept as they come; words with ids of their own are not asked for."""
 
-    def __init__(self, vocabulary: dict[bytes, int], spelling: Spelling):
-        super().__init__((w, 0.0) for w in vocabulary)
-        self.vocabulary, self.spelling = vocabulary, spelling
+    def __init__(self, spelling: Spelling):
+        super().__init__()
+        self.spelling = spelling
 
-    def of(self, rows: list[list[bytes]]) -> np.ndarray:
+    def of(self, rows: list[list[bytes]], rare: np.ndarray) -> np.ndarray:
+        """For each word of ``rows`` its value where ``rare`` says that it is spelled, else 0."""
         if len(self) > 300_000:
             self.clear()
-            self.__init__(self.vocabulary, self.spelling)
-        new = [w for w in set(chain.from_iterable(rows)) if w not in self]
+        asked = list(compress(chain.from_iterable(rows), rare.tolist()))
+        new = [w for w in set(asked) if w not in self]
         self.update(zip(new, self.spelling.log_probabilities(new).tolist(), strict=True))
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), np.float64)
+        out = np.zeros(len(rare))
+        out[rare] = np.fromiter(map(self.__getitem__, asked), np.float64, len(asked))
+        return out
 
 
 @dataclass(frozen=True)
@@ -230,9 +247,9 @@ class WindowModel:
     def log_probabilities(self, weights: list[np.ndarray], targets: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target given what is around it."""
         hidden = self.hidden(weights, around)
-        out = chosen(hidden @ weights[1], targets // self.each)
+        out = chosen(weights[1].T @ hidden.T, targets // self.each)
         for c, at in self.by_class(targets):
-            out[at] += chosen(hidden[at] @ weights[2][c], targets[at] % self.each)
+            out[at] += chosen(weights[2][c].T @ hidden[at].T, targets[at] % self.each)
         return out
 
     def step(self, weights: list[np.ndarray], targets: np.ndarray, around: np.ndarray) -> None:
@@ -241,17 +258,17 @@ class WindowModel:
         hidden = self.hidden(weights, around)
         n = len(targets)
         rate = np.float32(self.rate)
-        error = softmax(hidden @ to_class)
-        error[np.arange(n), targets // self.each] -= 1
-        back = error @ to_class[:-1].T
+        error = softmax(to_class.T @ hidden.T, 0)
+        error[targets // self.each, np.arange(n)] -= 1
+        back = error.T @ to_class[:-1].T
         words = {}
         for c, at in self.by_class(targets):
             own = hidden[at]
-            e = softmax(own @ to_word[c])
+            e = softmax(own @ to_word[c], 1)
             e[np.arange(len(at)), targets[at] % self.each] -= 1
             back[at] += e @ to_word[c][:-1].T
             words[c] = own.T @ e / max(len(at), 32)
-        to_class -= rate * (hidden.T @ error) / n * 4
+        to_class -= rate * (error @ hidden).T / n * 4
         for c, g in words.items():
             to_word[c] -= rate * g * 4
         back *= 1 - hidden[:, :-1] ** 2
@@ -260,7 +277,7 @@ class WindowModel:
             key = around[k][order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             counts = np.diff(np.r_[first, n])
-            embed[k][key[first]] -= rate * 4 * np.add.reduceat(back[order], first, axis=0) / np.sqrt(counts * 32 + 1)[:, None]
+            embed[k][key[first]] -= np.add.reduceat(back[order], first, axis=0) * (rate * 4 / np.sqrt(counts * 32 + 1)).astype(np.float32)[:, None]
 
     def train(self, documents: DataFrame, vocabulary: dict[bytes, int], total_words: int) -> list[np.ndarray]:
         """Weights after all texts, averaged over the shards after each round's part of them."""
@@ -330,13 +347,13 @@ class WindowModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, spelled, sent = shared.value
-            ids, words = WordIds(known, self.hashed), SpelledWords(known, spelled)
+            ids, words = WordIds(known, self.hashed), SpelledWords(spelled)
             for batch in batches:
                 counts, sums = [], []
                 for some in chunks([x.as_py() or b"" for x in batch.column(1)]):
                     rows = [t.split() for t in some]
                     targets, around, sizes = self.windows(rows, ids)
-                    logs = words.of(rows)
+                    logs = words.of(rows, targets >= len(known))
                     for at in range(0, len(targets), 8 * self.batch):
                         part = slice(at, at + 8 * self.batch)
                         logs[part] += self.log_probabilities(sent, targets[part], around[:, part])
@@ -351,19 +368,19 @@ class WindowModel:
         return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, n_words bigint, log_p double, mean_log_p double")
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    """Row by row, in place."""
-    x -= x.max(axis=1, keepdims=True)
+def softmax(x: np.ndarray, axis: int) -> np.ndarray:
+    """Along one axis, in place."""
+    x -= x.max(axis=axis, keepdims=True)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= x.sum(axis=axis, keepdims=True)
     return x
 
 
 def chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row at one place."""
-    x -= x.max(axis=1, keepdims=True)
-    value = x[np.arange(len(x)), at]
-    return value - np.log(np.exp(x, out=x).sum(axis=1))
+    """Logarithm of the softmax of each column at one place; sums down long columns side by side are faster than along short rows."""
+    x -= x.max(axis=0)
+    value = x[at, np.arange(x.shape[1])]
+    return value - np.log(np.exp(x, out=x).sum(axis=0))
 
 
 def chunks(texts: list[bytes], least: int = 300_000) -> Iterator[list[bytes]]:

@@ -2,31 +2,29 @@
 
 N-grams of the trusted texts are counted by hash; the counts of each order are joined
 with those of the order below it (continuation counts, discounts, weights of the lower
-order), which gives a table of probabilities and backoff weights. The n-grams of every
-document are joined with that table, order by order, and summed to a perplexity.
+order), which gives a table of values whose sum is a word's log-probability. The n-grams
+of every document are joined with that table, shard by shard, and summed to a perplexity.
 Documents above the quantiles of trusted texts in their language, which are scored by
-a model of the other half of them, are rejected. All of
-it is joins and aggregates; no model reaches the driver or a Python process.
+a model of the other half of them, are rejected. Counts and lookups are made in Python
+in shards of bounded size, the rest by joins; no whole model reaches the driver or a process.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from umbra.llm.common import BLANK, small, stored
-
-
-def positions(documents: DataFrame, *columns: str) -> DataFrame:
-    """One row for each word of ``text``: ``columns``, w0 (the word), w1 and w2 (those before it, empty before the text)."""
-    words = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), f"[{BLANK}]+")
-    rows = documents.select(*columns, words.alias("__w"))
-    before = lambda n: F.concat(F.array(*[F.lit("")] * n), F.col("__w"))
-    zipped = F.arrays_zip(F.col("__w").alias("w0"), before(1).alias("w1"), before(2).alias("w2"))
-    # the zip is as long as its longest part, whose last places hold no word
-    return rows.select(*columns, F.inline(zipped)).where("w0 IS NOT NULL AND w0 != ''")
+from umbra.llm.common import discard, small, stored
+from umbra.llm.ngrams import START, WordHashes, added, blocks, counted_runs, dealt_blocks, dealt_runs, looked_up, mixed, packed, signed, unpacked
+from umbra.llm.ngrams import runs as word_runs
 
 
 @dataclass(frozen=True)
@@ -44,7 +42,9 @@ class KneserNey:
     which an n-gram model cannot tell from common words. ``prior_words`` words of the
     language's mean steady the figures of short texts. ``open_words`` is the number of
     words an unseen word may be one of. A model of more than ``broadcast_rows`` n-grams
-    is joined by shuffle.
+    is joined word by word by shuffle. N-grams are counted in ``slices`` and texts scored in
+    ``rounds``, fewer where one would have less than ``part_chars`` characters: all are
+    taken, one part after the other, so that less is on disk at once.
     """
 
     sample_chars: int | None = None
@@ -55,71 +55,146 @@ class KneserNey:
     prior_words: int = 20
     open_words: int = 1 << 20
     broadcast_rows: int = 1_500_000
+    slices: int = 4
+    rounds: int = 12
+    part_chars: int = 8_000_000
 
-    def fit(self, texts: DataFrame) -> DataFrame:
-        """(n, gram, p, weight) of the n-grams in ``texts`` (text), by sharded count joins.
+    def runs(self, texts: DataFrame, most: int) -> int:
+        """Number of parts to take ``texts`` (text) in: ``most``, or fewer where they would be short."""
+        chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+        return max(1, min(most, -(-chars // self.part_chars)))
 
-        ``p`` is the discounted part of the probability and ``weight`` that of the lower
-        order after this n-gram as a history; for n = 0 ``weight`` is that of the
-        uniform distribution. N-grams that say nothing (no part, full weight) are left out.
+    def counted(self, texts: DataFrame, slices: int) -> tuple[list[DataFrame], DataFrame, Counter]:
+        """Stored (kind, x, y, z, n, w) of runs of two and three words, (x, n, w) of words, and numbers (see :func:`counted_runs`) of ``texts`` (text).
+
+        Runs are counted in ``slices`` by a hash, each of which reads all texts; so the
+        shuffle of one slice at a time is on disk.
         """
-        h = F.xxhash64
-        one = lambda n, gram, shorter, history: F.struct(F.lit(n).alias("n"), gram.alias("gram"), shorter.alias("shorter"), history.alias("history"))
-        none = F.lit(0).cast("long")
-        all_orders = F.array(one(1, h("w0"), none, none), one(2, h("w1", "w0"), h("w0"), h("w1")), one(3, h("w2", "w1", "w0"), h("w1", "w0"), h("w2", "w1")))
-        grams = positions(texts).select(F.inline(all_orders))
-        counted = stored(grams.groupBy("n", "gram", "shorter", "history").agg(F.count("*").alias("c")), "kn-counts")
-        # below the highest order an n-gram counts once for each word seen before it
-        before = counted.where("n > 1").groupBy((F.col("n") - 1).alias("n"), F.col("shorter").alias("gram")).agg(F.count("*").alias("k"))
-        used = counted.join(before, ["n", "gram"], "left").select("n", "gram", "history", F.when(F.col("n") == 3, F.col("c")).otherwise(F.coalesce("k", F.lit(1))).alias("c"))
-        used = stored(used, "kn-used")
-        # twelve rows at most
-        four = {(r.n, r.c): r.m for r in used.where("c <= 4").groupBy("n", "c").agg(F.count("*").alias("m")).collect()}
-        discounts = []
+        slices = self.runs(texts, slices)
+        bits = max(4, math.ceil(math.log2(max(1, (texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) / slices / 4e6))))
+        kept, words, tallies = [], None, Counter()
+        for part in range(slices):
+            dealt = texts.select(F.col("text").cast("binary")).mapInArrow(dealt_runs(part, slices, bits), "shard int, a binary, b binary, c binary, last binary")
+            found = stored(dealt.groupBy("shard").applyInArrow(counted_runs(self.least), "kind int, x bigint, y bigint, z bigint, n bigint, w bigint"), "kn-slice")
+            grams = stored(found.where("kind > 1"), "kn-grams")
+            own = found.where("kind = 1").select("x", "n", "w")
+            sums = stored((own.union(words) if words is not None else own).groupBy("x").agg(F.sum("n").alias("n"), F.sum("w").alias("w")), "kn-words")
+            for r in found.where("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("n")).collect():
+                tallies[r.x, r.y] += r.n
+            discard(found, *([] if words is None else [words]))
+            kept.append(grams)
+            words = sums
+        return kept, words, tallies
+
+    def fit(self, texts: DataFrame, slices: int | None = None) -> DataFrame:
+        """The stored model of ``texts`` (text) in shards by hash: (shard, bits, base, grams, own, after), by sharded count joins.
+
+        The logarithm of a word's probability is a sum over ``base``, the values ``own`` of
+        the word, of the two and the three words that end with it, and the values ``after``
+        of the one and the two words before it; values that are not there are 0. ``own`` of
+        a word is what it has beyond ``base``, a new word's; of a run what it has beyond
+        the shorter run and the weight of that; ``after`` is the logarithm of the lower
+        order's weight.
+        """
+        spark = texts.sparkSession
+        parts, words, tallies = self.counted(texts, slices or self.slices)
+        for r in words.where("w BETWEEN 1 AND 4").groupBy("w").count().collect():
+            tallies[1, r.w] = r["count"]
+        discounts = {}
         for n in (1, 2, 3):
-            m = [0, *(max(four.get((n, c), 0), 1) for c in range(1, 5))]
+            m = [0, *(max(tallies[n, c], 1) for c in range(1, 5))]
             y = m[1] / (m[1] + 2 * m[2])
-            discounts.append([min(max(c - (c + 1) * y * m[c + 1] / m[c], 0.1), c - 0.05) for c in (1, 2, 3)])
-        level = lambda k: F.element_at(F.array(*(F.lit(d[k]) for d in discounts)), F.col("n"))
-        cut = F.when((F.col("n") > 1) & (F.col("c") < self.least), F.col("c")).when(F.col("c") == 1, level(0)).when(F.col("c") == 2, level(1)).otherwise(level(2))
-        used = used.withColumn("cut", cut.cast("double"))
-        histories = used.groupBy("n", "history").agg(F.sum("c").alias("total"), F.sum("cut").alias("lost"))
-        parts = used.where("c > cut")
-        # all words have one history, whose total is one number; only longer n-grams are joined by theirs
-        every = used.where("n = 1").agg(F.coalesce(F.sum("c"), F.lit(1)).cast("long")).first()[0]
-        joined = parts.where("n = 1").select("n", "gram", "c", "cut", F.lit(every).alias("total"))
-        joined = joined.union(parts.where("n > 1").join(histories.where("n > 1"), ["n", "history"]).select("n", "gram", "c", "cut", "total"))
-        p = joined.select("n", "gram", ((F.col("c") - F.col("cut")) / F.col("total")).alias("p"))
-        weights = histories.where("lost < total").select((F.col("n") - 1).alias("n"), F.col("history").alias("gram"), (F.col("lost") / F.col("total")).alias("weight"))
-        return p.join(weights, ["n", "gram"], "full")
+            discounts[n] = [min(max(c - (c + 1) * y * m[c + 1] / m[c], 0.1), c - 0.05) for c in (1, 2, 3)]
+
+        def cut(n: int, c: str) -> Column:
+            d = discounts[n]
+            none = F.when(F.lit(n > 1) & (F.col(c) < self.least), F.col(c).cast("double"))
+            return none.when(F.col(c) == 1, F.lit(d[0])).when(F.col(c) == 2, F.lit(d[1])).otherwise(F.lit(d[2]))
+
+        log_weight = F.log((F.col("total") - F.col("kept")) / F.col("total"))
+        every, lost = words.where("w > 0").agg(F.sum("w"), F.sum(cut(1, "w"))).first()
+        floor = (lost / every if every else 1.0) / self.open_words
+        kept = parts[0]
+        for part in parts[1:]:
+            kept = kept.union(part)
+        two = kept.where("kind = 2").select(F.col("x").alias("gram"), F.col("y").alias("b"), F.col("z").alias("c"), F.col("n").alias("k"), F.col("w").alias("after"))
+        sums = two.where(F.col("k") >= self.least).groupBy(F.col("b").alias("x")).agg(F.sum(F.col("k") - cut(2, "k")).alias("kept"))
+        known = F.when(F.col("w") > 0, (F.col("w") - cut(1, "w")) / F.lit(every or 1)).otherwise(F.lit(0.0))
+        ones = stored(words.withColumn("log_p", F.log(known + F.lit(floor))).withColumnRenamed("n", "total").join(sums, "x", "left").select("x", "total", "log_p", F.coalesce(log_weight, F.lit(0.0)).alias("log_w")), "kn-ones")
+        lower = two.join(ones.select(F.col("x").alias("b"), "total", "log_w"), "b").join(ones.select(F.col("x").alias("c"), F.col("log_p").alias("log_u")), "c")
+        seen = F.col("k") >= self.least
+        log_p = F.log(F.when(seen, (F.col("k") - cut(2, "k")) / F.col("total")).otherwise(F.lit(0.0)) + F.exp(F.col("log_w") + F.col("log_u")))
+        own = F.when(seen, F.col("log_p") - F.col("log_u") - F.col("log_w")).otherwise(F.lit(0.0))
+        twos = stored(lower.withColumn("log_p", log_p).select("gram", "after", "log_p", own.alias("own")), "kn-twos")
+        three = kept.where("kind = 3").select(F.col("x").alias("gram"), F.col("y").alias("history"), F.col("z").alias("two"), F.col("n").alias("k"))
+        # what comes after no words at all is the start of a text
+        start = int(START.view(np.int64)[0])
+        totals = twos.where("after > 0").select(F.col("gram").alias("history"), F.col("after").alias("total")).union(spark.range(1).select(F.lit(start).alias("history"), F.lit(tallies[0, 0]).alias("total")))
+        sums = three.groupBy("history").agg(F.sum(F.col("k") - cut(3, "k")).alias("kept"))
+        weights = stored(sums.join(totals, "history").select("history", "total", log_weight.alias("log_w")), "kn-weights")
+        higher = three.join(weights, "history").join(twos.select(F.col("gram").alias("two"), "log_p"), "two")
+        below = F.col("log_w") + F.col("log_p")
+        threes = stored(higher.select("gram", (F.log((F.col("k") - cut(3, "k")) / F.col("total") + F.exp(below)) - below).alias("own")), "kn-threes")
+        discard(*parts, words)
+        zero, base = F.lit(0.0), math.log(floor)
+        first = weights.where(F.col("history") == start).first()
+        rows = ones.select(F.col("x").alias("gram"), (F.col("log_p") - base).alias("own"), F.col("log_w").alias("after"))
+        rows = rows.union(twos.join(weights, F.col("gram") == F.col("history"), "left").select("gram", "own", F.coalesce("log_w", zero).alias("after")).where("own != 0 OR after != 0"))
+        rows = rows.union(threes.select("gram", "own", zero.alias("after"))).union(spark.range(1).select(F.lit(start).alias("gram"), zero.alias("own"), F.lit(first.log_w if first else 0.0).alias("after")))
+        bits = max(4, math.ceil(math.log2(max(1, (ones.count() + twos.count() + threes.count()) / 150_000))))
+        shards = rows.withColumn("shard", F.shiftrightunsigned("gram", 64 - bits).cast("int")).groupBy("shard").applyInArrow(packed, "shard int, grams binary, own binary, after binary")
+        model = stored(shards.select("shard", F.lit(bits).alias("bits"), F.lit(base).alias("base"), "grams", "own", "after"), "kn-model")
+        discard(ones, twos, threes, weights)
+        return model
 
     def word_log_probabilities(self, documents: DataFrame, model: DataFrame, *columns: str) -> DataFrame:
         """``columns``, log_p (natural) and again (whether it equals the word before it) of each word of ``documents`` (text); ``model`` is a stored table of :meth:`fit`.
 
-        Each order is a join on the n-gram's hash: by broadcast where the model up to this
-        order has ``broadcast_rows`` rows at most, else by shuffle.
+        A row for each word, joined with the n-grams by broadcast where the model has
+        ``broadcast_rows`` of them at most, else by shuffle; :meth:`scores` sums the same values in blocks.
         """
-        sizes = {r.n: r["count"] for r in model.groupBy("n").count().collect()}
-        empty = model.where("n = 0").select("weight").first()
-        least = (empty.weight if empty else 1.0) / self.open_words
-        h = F.xxhash64
-        rows = positions(documents, *columns).select(*columns, h("w0").alias("g1"), h("w1", "w0").alias("g2"), h("w2", "w1", "w0").alias("g3"), h("w1").alias("h1"), h("w2", "w1").alias("h2"), (F.col("w0") == F.col("w1")).alias("again"))
-        for n, key, value in ((1, "g1", "p"), (2, "g2", "p"), (3, "g3", "p"), (1, "h1", "weight"), (2, "h2", "weight")):
-            side = model.where(F.col("n") == n).select(F.col("gram").alias(key), F.col("p").alias(f"p_{key}"), F.col("weight").alias(f"weight_{key}"))
-            rows = rows.join(F.broadcast(side) if sum(sizes.get(k, 0) for k in range(n + 1)) <= self.broadcast_rows else side, key, "left").drop("p_" + key if value == "weight" else "weight_" + key)
-        part = lambda k: F.coalesce(f"p_g{k}", F.lit(0.0))
-        weight = lambda k: F.coalesce(f"weight_h{k}", F.lit(1.0))
-        total = part(3) + weight(2) * (part(2) + weight(1) * (part(1) + F.lit(least)))
-        return rows.select(*columns, F.log(total).alias("log_p"), "again")
-
-    def scores(self, documents: DataFrame, model: DataFrame) -> DataFrame:
-        """doc_id, lang, body, n_words, log_p (sum over the words), n_again of each row."""
-        rows = documents.select("doc_id", "lang", "text").withColumn("__row", F.monotonically_increasing_id())
-        words = self.word_log_probabilities(rows, model, "__row")
-        sums = words.groupBy("__row").agg(F.count("*").alias("n_words"), F.sum("log_p").alias("log_p"), F.count_if("again").alias("n_again"))
-        out = rows.select("__row", "doc_id", "lang", F.xxhash64("text").alias("body")).join(sums, "__row", "left")
-        filled = {"n_words": F.coalesce("n_words", F.lit(0).cast("long")), "log_p": F.coalesce("log_p", F.lit(0.0)), "n_again": F.coalesce("n_again", F.lit(0).cast("long"))}
-        return out.select("doc_id", "lang", "body", *(v.alias(k) for k, v in filled.items()))
+        size, base = model.agg(F.sum(F.length("grams")) / 8, F.first("base")).first()
+        grams = model.mapInArrow(unpacked, "gram bigint, own double, after double")
+        rows = documents.select(*columns, F.col("text").cast("binary").alias("__text"))
+        keys = ("g1", "g2", "g3", "h1", "h2")
+        kind = StructType([*rows.drop("__text").schema.fields, *(StructField(k, LongType()) for k in keys), StructField("again", BooleanType())])
+
+        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for block in blocks(batches, len(columns)):
+                a, b, c, _, sizes = word_runs(block.column(len(columns)), hashes)
+                two = mixed(b, c)
+                own = block.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield pa.RecordBatch.from_arrays([*own.columns[:-1], *map(signed, (c, two, mixed(a, two), b, mixed(a, b))), pa.array(b == c)], names=[f.name for f in kind.fields])
+
+        out = rows.mapInArrow(words, kind)
+        for key in keys:
+            side = grams.select(F.col("gram").alias(key), F.col("after" if key[0] == "h" else "own").alias(f"value_{key}"))
+            out = out.join(F.broadcast(side) if size <= self.broadcast_rows else side, key, "left")
+        total = F.lit(base)
+        for key in keys:
+            total = total + F.coalesce(f"value_{key}", F.lit(0.0))
+        return out.select(*columns, total.alias("log_p"), "again")
+
+    def scores(self, documents: DataFrame, model: DataFrame, rounds: int | None = None) -> DataFrame:
+        """doc_id, lang, body, n_words, log_p (sum over the words), n_again of each row.
+
+        Texts are taken in ``rounds`` by a hash; a round's n-grams are dealt in blocks of
+        texts to the model's shards, and what they sum to there comes back by block. So
+        the shuffle of one round at a time is on disk, and no model leaves the executors.
+        """
+        rounds = self.runs(documents, rounds or self.rounds)
+        bits, base = model.select("bits", "base").first()
+        texts = documents.select(F.xxhash64("text").alias("body"), F.col("text").cast("binary").alias("text"))
+        out = None
+        for turn in range(rounds):
+            dealt = texts.where(F.pmod("body", F.lit(rounds)) == turn).mapInArrow(dealt_blocks(bits), "shard int, block bigint, grams binary, who binary")
+            sums = dealt.groupBy("shard").cogroup(model.select("shard", "grams", "own", "after").groupBy("shard")).applyInArrow(looked_up, "block bigint, shard int, sums binary")
+            part = stored(sums.groupBy("block").applyInArrow(added, "body bigint, n_words bigint, value double, n_again bigint"), "kn-sums")
+            out = part if out is None else out.union(part)
+        # copies have equal figures
+        sums = out.groupBy("body").agg(F.max("n_words").alias("n_words"), (F.min("value") + F.max("n_words") * F.lit(base)).alias("log_p"), F.max("n_again").alias("n_again"))
+        return documents.select("doc_id", "lang", F.xxhash64("text").alias("body")).join(small(sums), "body").select("doc_id", "lang", "body", "n_words", "log_p", "n_again")
 
     def trusted_sample(self, trusted: DataFrame) -> DataFrame:
         """With ``sample_chars``: of ``trusted`` (doc_id, lang, n_chars) the texts that the model is fitted on, four fifths of a language's at most."""
@@ -140,9 +215,10 @@ class KneserNey:
         ids = stored(trusted.select("doc_id", half.alias("__half")), "kn-halves")
         rows = documents.join(small(ids), "doc_id", "left")
         out = None
-        for of, fitted in ((rows["__half"].isNull(), rows["__half"].isNotNull()), (rows["__half"] == 0, rows["__half"] == 1), (rows["__half"] == 1, rows["__half"] == 0)):
-            model = stored(self.fit(rows.where(fitted).select("text")), "kn-model")
-            scored = stored(self.scores(rows.where(of), model), "kn-scores")
+        for of, fitted, less in ((rows["__half"].isNull(), rows["__half"].isNotNull(), 1), (rows["__half"] == 0, rows["__half"] == 1, 2), (rows["__half"] == 1, rows["__half"] == 0, 2)):
+            model = self.fit(rows.where(fitted).select("text"), -(-self.slices // less))
+            scored = stored(self.scores(rows.where(of), model, -(-self.rounds // less**2)), "kn-scores")
+            discard(model)
             out = scored if out is None else out.union(scored)
         return out
 
@@ -177,7 +253,7 @@ class KneserNey:
             scored, unseen = self.cross_scores(docs, trusted), trusted.select("doc_id")
         else:
             sample = stored(self.trusted_sample(trusted), "kn-sample")
-            model = stored(self.fit(docs.join(small(sample), "doc_id", "left_semi")), "kn-model")
+            model = self.fit(docs.join(small(sample), "doc_id", "left_semi"))
             scored, unseen = stored(self.scores(docs, model), "kn-scores"), trusted.select("doc_id").join(small(sample), "doc_id", "left_anti")
         full = scored.where("n_words > 0").groupBy("lang").agg((F.sum("log_p") / F.sum("n_words")).alias("mean"), (F.sum("n_again") / F.sum("n_words")).alias("usual"))
         # a row for each language

@@ -1,6 +1,7 @@
 """Chat formatting, quality rules, near-dedup, decontamination, classifier and language model on small tables."""
 
 import math
+import os
 import random
 from collections import Counter
 from hashlib import sha256
@@ -15,7 +16,7 @@ from umbra.llm.components import components
 from umbra.llm.decontaminate import STARTERS, UNITS, Decontamination
 from umbra.llm.lm_score import SpelledWords, Spelling, WindowModel, WordIds
 from umbra.llm.near_dedup import NearDedup
-from umbra.llm.common import stored
+from umbra.llm.common import shared_dir, stored
 from umbra.llm.quality_classifier import KneserNey
 from umbra.llm.quality_rules import quality_rules, repeated_words
 
@@ -338,6 +339,21 @@ def test_classifier_is_fitted_on_all_trusted_text(spark):
         assert out[i].perplexity == pytest.approx(math.exp(h[i])) and out[i].limit == pytest.approx(math.exp(high))
 
 
+def test_classifier_in_parts_gives_the_same_and_leaves_no_models(spark):
+    """Slices and rounds change no figure, and what is counted is removed."""
+    r = random.Random(6)
+    lexicon = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join(r.choice(lexicon) for _ in range(r.randint(0, 40))), "en") for i in range(60)] + [(i, "word1 word2 word3", "en") for i in range(60, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 80, 2)], "doc_id long, quality int, toxic int")
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    whole, parts = ({x.doc_id: x for x in KneserNey(part_chars=n).classify(docs, labels).collect()} for n in (8_000_000, 1000))
+    assert len(whole) == 90 and all(parts[i].n_words == x.n_words and parts[i].kept == x.kept and parts[i].perplexity == (x.perplexity and pytest.approx(x.perplexity)) and parts[i].limit == pytest.approx(x.limit) for i, x in whole.items())
+    left = {x.split("-")[2] for x in set(os.listdir(folder)) - before if x.startswith("umbra-kn-")}
+    assert left == {"halves", "scores", "sums", "limits"}
+
+
 def test_classifier_keeps_good_and_rejects_junk(spark):
     r = random.Random(9)
     lexicon = [f"word{i}" for i in range(60)]

@@ -27,6 +27,10 @@ from umbra.llm.ngrams import START, WordHashes, added, blocks, counted_runs, dea
 from umbra.llm.ngrams import runs as word_runs
 
 
+def characters(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+
+
 @dataclass(frozen=True)
 class KneserNey:
     """Trigrams. Parameters:
@@ -55,23 +59,22 @@ class KneserNey:
     prior_words: int = 20
     open_words: int = 1 << 20
     broadcast_rows: int = 1_500_000
-    slices: int = 4
-    rounds: int = 12
+    slices: int = 3
+    rounds: int = 8
     part_chars: int = 8_000_000
 
-    def runs(self, texts: DataFrame, most: int) -> int:
-        """Number of parts to take ``texts`` (text) in: ``most``, or fewer where they would be short."""
-        chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    def runs(self, chars: int, most: int) -> int:
+        """Number of parts to take texts of so many characters in: ``most``, or fewer where they would be short."""
         return max(1, min(most, -(-chars // self.part_chars)))
 
-    def counted(self, texts: DataFrame, slices: int) -> tuple[list[DataFrame], DataFrame, Counter]:
+    def counted(self, texts: DataFrame, slices: int, chars: int) -> tuple[list[DataFrame], DataFrame, Counter]:
         """Stored (kind, x, y, z, n, w) of runs of two and three words, (x, n, w) of words, and numbers (see :func:`counted_runs`) of ``texts`` (text).
 
         Runs are counted in ``slices`` by a hash, each of which reads all texts; so the
         shuffle of one slice at a time is on disk.
         """
-        slices = self.runs(texts, slices)
-        bits = max(4, math.ceil(math.log2(max(1, (texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) / slices / 4e6))))
+        slices = self.runs(chars, slices)
+        bits = max(4, math.ceil(math.log2(max(1, chars / slices / 4e6))))
         kept, words, tallies = [], None, Counter()
         for part in range(slices):
             dealt = texts.select(F.col("text").cast("binary")).mapInArrow(dealt_runs(part, slices, bits), "shard int, a binary, b binary, c binary, last binary")
@@ -86,7 +89,7 @@ class KneserNey:
             words = sums
         return kept, words, tallies
 
-    def fit(self, texts: DataFrame, slices: int | None = None) -> DataFrame:
+    def fit(self, texts: DataFrame, slices: int | None = None, chars: int | None = None) -> DataFrame:
         """The stored model of ``texts`` (text) in shards by hash: (shard, bits, base, grams, own, after), by sharded count joins.
 
         The logarithm of a word's probability is a sum over ``base``, the values ``own`` of
@@ -97,7 +100,7 @@ class KneserNey:
         order's weight.
         """
         spark = texts.sparkSession
-        parts, words, tallies = self.counted(texts, slices or self.slices)
+        parts, words, tallies = self.counted(texts, slices or self.slices, characters(texts) if chars is None else chars)
         for r in words.where("w BETWEEN 1 AND 4").groupBy("w").count().collect():
             tallies[1, r.w] = r["count"]
         discounts = {}
@@ -176,14 +179,14 @@ class KneserNey:
             total = total + F.coalesce(f"value_{key}", F.lit(0.0))
         return out.select(*columns, total.alias("log_p"), "again")
 
-    def scores(self, documents: DataFrame, model: DataFrame, rounds: int | None = None) -> DataFrame:
+    def scores(self, documents: DataFrame, model: DataFrame, rounds: int | None = None, chars: int | None = None) -> DataFrame:
         """doc_id, lang, body, n_words, log_p (sum over the words), n_again of each row.
 
         Texts are taken in ``rounds`` by a hash; a round's n-grams are dealt in blocks of
         texts to the model's shards, and what they sum to there comes back by block. So
         the shuffle of one round at a time is on disk, and no model leaves the executors.
         """
-        rounds = self.runs(documents, rounds or self.rounds)
+        rounds = self.runs(characters(documents) if chars is None else chars, rounds or self.rounds)
         bits, base = model.select("bits", "base").first()
         texts = documents.select(F.xxhash64("text").alias("body"), F.col("text").cast("binary").alias("text"))
         out = None
@@ -214,13 +217,16 @@ class KneserNey:
         half = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(2)).cast("int")
         ids = stored(trusted.select("doc_id", half.alias("__half")), "kn-halves")
         rows = documents.join(small(ids), "doc_id", "left")
-        out = None
-        for of, fitted, less in ((rows["__half"].isNull(), rows["__half"].isNotNull(), 1), (rows["__half"] == 0, rows["__half"] == 1, 2), (rows["__half"] == 1, rows["__half"] == 0, 2)):
-            model = self.fit(rows.where(fitted).select("text"), -(-self.slices // less))
-            scored = stored(self.scores(rows.where(of), model, -(-self.rounds // less**2)), "kn-scores")
+        chars = {r["__half"]: r.n or 0 for r in rows.groupBy("__half").agg(F.sum(F.length("text").cast("long")).alias("n")).collect()}
+        parts = []
+        for half in (None, 0, 1):
+            of, fitted = (rows["__half"].isNull(), rows["__half"].isNotNull()) if half is None else (rows["__half"] == half, rows["__half"] == 1 - half)
+            seen = sum(n for h, n in chars.items() if h is not None and h != half)
+            # halves are short: one slice, and rounds by their share
+            model = self.fit(rows.where(fitted).select("text"), None if half is None else max(1, self.slices // 2), seen)
+            parts.append(stored(self.scores(rows.where(of), model, None if half is None else max(1, self.rounds // 4), chars.get(half, 0)), "kn-scores"))
             discard(model)
-            out = scored if out is None else out.union(scored)
-        return out
+        return parts[0].union(parts[1]).union(parts[2])
 
     def limits(self, held_out: DataFrame) -> DataFrame:
         """lang, high, most_again: limits from the steadied figures (lang, h, again) of trusted texts under models that did not see them."""

@@ -465,3 +465,23 @@ def test_window_model_is_a_distribution_and_ignores_the_word_itself():
     assert model.ids <= model.classes * model.each < model.ids + model.classes
     # places of a group beyond the last id take what is left
     assert np.all(np.exp(every).sum(axis=0) <= 1 + 1e-5) and np.all(np.exp(every).sum(axis=0) > 1 - 2 * model.classes / model.ids)
+
+
+def test_window_model_probabilities_of_small_and_large_weights():
+    """Exponentials without a largest value taken off are used only where all outputs are small; all words have probability one together either way."""
+    from umbra.llm.lm_score import bounded
+
+    model = WindowModel(known=20, hashed=5, classes=24, size=8)
+    around = np.random.default_rng(2).integers(0, model.ids, (2 * model.side, 1))
+    for scale in (1, 300):
+        weights = [w * np.float32(scale) for w in model.start()]
+        assert bounded(weights[1]) == bounded(weights[2]) == (scale == 1)
+        every = np.arange(model.classes * model.each)
+        logs = model.log_probabilities(weights, every, np.repeat(around, len(every), axis=1))
+        assert np.isfinite(logs).all() and np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+        hidden = model.hidden(weights, around)[0].astype(float)
+        a, b = hidden @ weights[1], hidden @ weights[2].astype(float)
+        want = (a - np.logaddexp.reduce(a))[:, None] + b - np.logaddexp.reduce(b, axis=1)[:, None]
+        assert np.allclose(logs, want.ravel(), rtol=1e-4, atol=1e-3)
+        model.step(weights, every, np.repeat(around, len(every), axis=1))
+        assert all(np.isfinite(w).all() for w in weights)

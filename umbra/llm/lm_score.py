@@ -230,26 +230,36 @@ class WindowModel:
     def hidden(self, weights: list[np.ndarray], around: np.ndarray) -> np.ndarray:
         """Hidden values of each window, and a constant 1."""
         out = np.ones((around.shape[1], self.size + 1), np.float32)
-        total = weights[0][0][around[0]]
+        total = weights[0][0].take(around[0], axis=0)
         for k in range(1, 2 * self.side):
-            total += weights[0][k][around[k]]
+            total += weights[0][k].take(around[k], axis=0)
         np.tanh(total, out=out[:, :-1])
         return out
 
-    def by_class(self, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def by_class(self, targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """The order of targets by class, and each class with its places in that order."""
         group = targets // self.each
         order = np.argsort(group, kind="stable")
-        ends = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            if ends[c] < ends[c + 1]:
-                yield c, order[ends[c] : ends[c + 1]]
+        ends = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        return order, [(c, slice(ends[c], ends[c + 1])) for c in range(self.classes) if ends[c] < ends[c + 1]]
+
+    def word_values(self, to_word: np.ndarray, own: np.ndarray, places: list[tuple[int, slice]]) -> np.ndarray:
+        """A row of a class's outputs for each row of ``own``, hidden values by class."""
+        out = np.empty((len(own), self.each), np.float32)
+        for c, at in places:
+            np.matmul(own[at], to_word[c], out=out[at])
+        return out
 
     def log_probabilities(self, weights: list[np.ndarray], targets: np.ndarray, around: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target given what is around it."""
         hidden = self.hidden(weights, around)
-        out = chosen(weights[1].T @ hidden.T, targets // self.each)
-        for c, at in self.by_class(targets):
-            out[at] += chosen(weights[2][c].T @ hidden[at].T, targets[at] % self.each)
+        out = chosen(weights[1].T @ hidden.T, targets // self.each, bounded(weights[1]))
+        order, places = self.by_class(targets)
+        x = self.word_values(weights[2], hidden.take(order, axis=0), places)
+        if not bounded(weights[2]):
+            x -= x.max(axis=1, keepdims=True)
+        value = x[np.arange(len(x)), (targets % self.each)[order]]
+        out[order] += value - np.log(row_sums(np.exp(x, out=x)))
         return out
 
     def step(self, weights: list[np.ndarray], targets: np.ndarray, around: np.ndarray) -> None:
@@ -258,26 +268,36 @@ class WindowModel:
         hidden = self.hidden(weights, around)
         n = len(targets)
         rate = np.float32(self.rate)
-        error = softmax(to_class.T @ hidden.T, 0)
+        error = to_class.T @ hidden.T
+        if not bounded(to_class):
+            error -= error.max(axis=0)
+        np.exp(error, out=error)
+        error /= error.sum(axis=0)
         error[targets // self.each, np.arange(n)] -= 1
         back = error.T @ to_class[:-1].T
-        words = {}
-        for c, at in self.by_class(targets):
-            own = hidden[at]
-            e = softmax(own @ to_word[c], 1)
-            e[np.arange(len(at)), targets[at] % self.each] -= 1
-            back[at] += e @ to_word[c][:-1].T
-            words[c] = own.T @ e / max(len(at), 32)
+        order, places = self.by_class(targets)
+        own = hidden.take(order, axis=0)
+        e = self.word_values(to_word, own, places)
+        if not bounded(to_word):
+            e -= e.max(axis=1, keepdims=True)
+        np.exp(e, out=e)
+        e /= row_sums(e)[:, None]
+        e[np.arange(n), (targets % self.each)[order]] -= 1
+        more = np.empty((n, self.size), np.float32)
         to_class -= rate * (error @ hidden).T / n * 4
-        for c, g in words.items():
-            to_word[c] -= rate * g * 4
+        for c, at in places:
+            np.matmul(e[at], to_word[c][:-1].T, out=more[at])
+            to_word[c] -= own[at].T @ e[at] * (rate * 4 / np.float32(max(at.stop - at.start, 32)))
+        place = np.empty_like(order)
+        place[order] = np.arange(n)
+        back += more.take(place, axis=0)
         back *= 1 - hidden[:, :-1] ** 2
         for k in range(2 * self.side):
             order = np.argsort(around[k], kind="stable")
             key = around[k][order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             counts = np.diff(np.r_[first, n])
-            embed[k][key[first]] -= np.add.reduceat(back[order], first, axis=0) * (rate * 4 / np.sqrt(counts * 32 + 1)).astype(np.float32)[:, None]
+            embed[k][key[first]] -= np.add.reduceat(back.take(order, axis=0), first, axis=0) * (rate * 4 / np.sqrt(counts * 32 + 1)).astype(np.float32)[:, None]
 
     def train(self, documents: DataFrame, vocabulary: dict[bytes, int], total_words: int) -> list[np.ndarray]:
         """Weights after all texts, averaged over the shards after each round's part of them."""
@@ -368,17 +388,20 @@ class WindowModel:
         return documents.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, n_words bigint, log_p double, mean_log_p double")
 
 
-def softmax(x: np.ndarray, axis: int) -> np.ndarray:
-    """Along one axis, in place."""
-    x -= x.max(axis=axis, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=axis, keepdims=True)
-    return x
+def bounded(weights: np.ndarray) -> bool:
+    """Whether outputs are so small that their exponentials need no largest one taken off first: hidden values are 1 at most."""
+    return float(np.abs(weights).sum(axis=-2).max()) < 60
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums along short rows, as a product, which is faster."""
+    return x @ np.ones(x.shape[1], np.float32)
 
 
-def chosen(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+def chosen(x: np.ndarray, at: np.ndarray, bounded: bool = False) -> np.ndarray:
     """Logarithm of the softmax of each column at one place; sums down long columns side by side are faster than along short rows."""
-    x -= x.max(axis=0)
+    if not bounded:
+        x -= x.max(axis=0)
     value = x[at, np.arange(x.shape[1])]
     return value - np.log(np.exp(x, out=x).sum(axis=0))
 
